@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .piece_codec import encode_decode
+from .substring_dedup import substring_dedup
 from .url_filter import filter_urls
 
 #: Fixed values of the query contracts: rules of the URL filter.
@@ -38,6 +39,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup(_table(spark, sf_dir, "documents"))
+    kept = F.when(F.col("kept_text").isNotNull(), F.sha2("kept_text", 256)).otherwise(F.col("words_sha256"))
+    return parsed.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -66,7 +73,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op8_substring_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

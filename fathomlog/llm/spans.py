@@ -33,6 +33,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
 
 
+def _geometric(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, _U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown on demand."""
 
@@ -43,8 +49,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up), 1 << 16)
-            self.up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, _U)]).astype(_U), dtype=_U)
-            self.down = np.cumprod(np.concatenate([[1], np.full(size - 1, _INVERSE, _U)]).astype(_U), dtype=_U)
+            self.up, self.down = _geometric(_BASE, size), _geometric(_INVERSE, size)
         return self.up, self.down
 
 
