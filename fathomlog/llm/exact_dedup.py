@@ -59,10 +59,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = level.where("group_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1)))
     members = ws.write(salted.join(entries, ["digest", "salt"]).select("id", "digest", "salt", "keep_id", "group_size"), "members")
     # Only texts of members are compared: hits with the text that stays.
-    texts = ws.write(source.join(members, ["id", "digest"]), "texts")
+    texts = ws.write(source.hint("merge").join(members, ["id", "digest"]), "texts")
     stays = texts.where(F.col("id") == F.col("keep_id")).select("digest", "group_size", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
     stays = stays.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("group_size")
-    checked = texts.join(stays, ["digest", "salt"]).withColumn("same", F.col("text") == F.col("kept_text"))
+    checked = texts.hint("merge").join(stays, ["digest", "salt"]).withColumn("same", F.col("text") == F.col("kept_text"))
     verdicts = ws.write(checked.select("id", "digest", "keep_id", "group_size", "same", F.when(~F.col("same"), F.col("text")).alias("text")), "verdicts")
     ws.drop("texts")
     if verdicts.where(~F.col("same")).isEmpty():
