@@ -145,20 +145,20 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     parsed = ws.write(keyed.mapInArrow(_parse(window, gram), f"id {kind}, text_key long, n_words long, words_sha256 string, runs {RUNS}"), "parsed")
     runs = parsed.where("id is not null").select("id", "text_key", F.inline("runs"))
     shared = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    runs = ws.write(runs.join(shared, "anchor"), "runs")
+    runs = ws.write(runs.hint("merge").join(shared, "anchor"), "runs")
     entry = ["anchor", "context", "lead", "n"]
     index = runs.groupBy(entry).agg(F.min("id").alias("first"))
     mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries"))
-    placed = ws.write(runs.join(index, entry), "placed")
+    placed = ws.write(runs.hint("merge").join(index, entry), "placed")
     inside = placed.where(F.col("id") > F.col("first")).select("id", "text_key", "start", "n")
     border = placed.where(F.col("id") == F.col("first")).join(mixed.where("entries > 1").select("anchor"), "anchor")
     border = border.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
-    single = keyed.join(border, ["id", "text_key"]).mapInArrow(_windows(window), f"anchor long, hash long, id {kind}, text_key long, start int")
+    single = keyed.hint("merge").join(border, ["id", "text_key"]).mapInArrow(_windows(window), f"anchor long, hash long, id {kind}, text_key long, start int")
     single = ws.write(single, "windows")
     earliest = single.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("anchor", "hash", "first")
-    straddling = single.join(earliest, ["anchor", "hash"]).where(F.col("id") > F.col("first")).select("id", "text_key", "start", F.lit(1).alias("n"))
+    straddling = single.hint("merge").join(earliest, ["anchor", "hash"]).where(F.col("id") > F.col("first")).select("id", "text_key", "start", F.lit(1).alias("n"))
     spans = inside.unionByName(straddling).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    removed = keyed.join(spans, ["id", "text_key"]).mapInArrow(_remove(window), f"id {kind}, text_key long, n_removed long, kept_text string")
+    removed = keyed.hint("merge").join(spans, ["id", "text_key"]).mapInArrow(_remove(window), f"id {kind}, text_key long, n_removed long, kept_text string")
     removed = removed.groupBy("id", "text_key").agg(F.first("n_removed").alias("n_removed"), F.first("kept_text").alias("kept_text"))
-    out = parsed.drop("runs").join(removed, ["id", "text_key"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    out = parsed.drop("runs").hint("merge").join(removed, ["id", "text_key"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     return out.withColumnRenamed("id", id_col)
