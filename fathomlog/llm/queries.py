@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .piece_codec import encode_decode
 from .substring_dedup import substring_dedup
@@ -39,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substring_dedup(_table(spark, sf_dir, "documents"))
     kept = F.when(F.col("kept_text").isNotNull(), F.sha2("kept_text", 256)).otherwise(F.col("words_sha256"))
@@ -73,7 +78,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op8_substring_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
