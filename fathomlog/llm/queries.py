@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .packing import pack_documents
@@ -27,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -78,7 +83,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
