@@ -12,6 +12,7 @@ from .near_dedup import near_dedup
 from .packing import pack_documents
 from .piece_codec import encode_decode
 from .substring_dedup import substring_dedup
+from .toxicity import THRESHOLD, score, train
 from .url_filter import filter_urls
 
 #: Fixed values of the query contracts: rules of the URL filter.
@@ -59,6 +60,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = train(docs, _table(spark, sf_dir, "labels").where(fold != 2))
+    scored = score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 OP5_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id,
@@ -83,7 +92,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
