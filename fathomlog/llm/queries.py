@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .piece_codec import encode_decode
 from .substring_dedup import substring_dedup
+from .token_counts import count_with_edits
 from .toxicity import THRESHOLD, score, train
 from .url_filter import filter_urls
 
@@ -33,6 +35,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "partners", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,6 +53,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a header in front, 16 characters in the middle out, one line at the end."""
+    docs = _table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    header = F.concat_ws(" ", F.lit("lang:"), "lang", F.lit("source:"), "source", F.lit("\n"))
+    middle = (n / 2).cast("long") + F.length(header)
+    edits = [(F.lit(0), F.lit(0), header), (middle, middle + 16, F.lit("")), (F.lit(1 << 40), F.lit(1 << 40), F.lit("\nEnd of text."))]
+    return count_with_edits(docs, edits, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -92,7 +109,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_dedup, op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_piece_codec, op4_best_fit_packing, op5_exact_dedup, op6_token_counts, op7_near_dedup, op8_substring_dedup, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
