@@ -75,13 +75,13 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     ),
     "union": (CUSTOMER + SUPPLIER + "place(N) :- customer(_, _, N, B, _), B < -900.0.\nplace(N) :- supplier(_, _, N, _).\n?- place(N).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N" FROM customer WHERE c_acctbal < -900 UNION SELECT s_nationkey FROM supplier'),
     "intersect": (CUSTOMER + SUPPLIER + "?- customer(_, _, N, _, _), supplier(_, _, N, _).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N" FROM customer INTERSECT SELECT s_nationkey FROM supplier'),
-    "except": (NATION + SUPPLIER + "?- nation(N, _, _), not supplier(_, _, N, _).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation EXCEPT SELECT s_nationkey FROM supplier'),
+    "except": (NATION + SUPPLIER + "rich(N) :- supplier(_, _, N, B), B > 5000.0.\n?- nation(N, _, _), not rich(N).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000'),
     "division": (
         ORDERS + "status(S) :- orders(_, _, S, _, _, _).\nhas(C, S) :- orders(_, C, S, _, _, _).\nlacks(C) :- has(C, _), status(S), not has(C, S).\nall_of(C) :- has(C, _), not lacks(C).\n?- all_of(C).",
         "default",
         'SELECT o_custkey AS "C" FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = (SELECT count(DISTINCT o_orderstatus) FROM orders)',
     ),
-    "negated_filter": (NATION + "?- nation(N, Name, R), not R < 3, not Name = \"CHINA\".", "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"N\", n_name AS \"Name\", CAST(n_regionkey AS BIGINT) AS \"R\" FROM nation WHERE n_regionkey >= 3 AND n_name <> 'CHINA'"),
+    "negated_filter": (NATION + "?- nation(N, Name, R), not R < 3, not Name = \"NATION_7\".", "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"N\", n_name AS \"Name\", CAST(n_regionkey AS BIGINT) AS \"R\" FROM nation WHERE n_regionkey >= 3 AND n_name <> 'NATION_7'"),
     "filter_range": (PART + "?- part(P, _, _, _, S, _), S in [10 .. 12].", "default", 'SELECT p_partkey AS "P", CAST(p_size AS BIGINT) AS "S" FROM part WHERE p_size BETWEEN 10 AND 12'),
     "rank_count": (NATION + "rank(A, count(*)) :- nation(A, NA, _), nation(_, NB, _), NB <= NA.\n?- rank(N, R).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N", rank() OVER (ORDER BY n_name) AS "R" FROM nation'),
     "top_one": (CUSTOMER + "best(N, max(B)) :- customer(_, _, N, B, _).\n?- best(N, B), customer(C, _, N, B, _).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N", c_acctbal AS "B", c_custkey AS "C" FROM customer QUALIFY c_acctbal = max(c_acctbal) OVER (PARTITION BY c_nationkey)'),
@@ -115,9 +115,9 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     ),
     "recursive_arithmetic": ("fib(0, 0, 1).\nfib(N + 1, B, A + B) :- fib(N, A, B), N < 20.\n?- fib(N, F, _).", "default", 'WITH RECURSIVE f(n, a, b) AS (SELECT 0::BIGINT, 0::BIGINT, 1::BIGINT UNION SELECT n + 1, b, a + b FROM f WHERE n < 20) SELECT n AS "N", a AS "F" FROM f'),
     "stratified_negation": (
-        TURNS + TURN_EDGES + "reach(C, 0) :- conversations(C, 0, _).\nreach(C, Y) :- reach(C, X), e(C, X, Y).\n?- conversations(C, T, _), not reach(C, T).",
+        TURNS + TURN_EDGES + "reach(C, 2) :- conversations(C, 2, _).\nreach(C, Y) :- reach(C, X), e(C, X, Y).\n?- conversations(C, T, _), not reach(C, T).",
         "default",
-        'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, turn t FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT DISTINCT conv_id AS "C", turn AS "T" FROM conversations v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = v.conv_id AND r.t = v.turn)',
+        'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, turn t FROM conversations WHERE turn = 2 UNION SELECT r.c, v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT DISTINCT conv_id AS "C", turn AS "T" FROM conversations v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = v.conv_id AND r.t = v.turn)',
     ),
     "parity": (
         NATION + "move(A, B) :- nation(A, _, R), nation(B, _, R), B < A.\nwin(A) :- move(A, B), not open^(B).\nopen^(A) :- move(A, B), not win(B).\n?- win(A).",
@@ -126,8 +126,8 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     ),
     "range_bind": (PART + 'step(P, I, I > S / 2 ? "upper" : "lower") :- part(P, _, _, _, S, _), P < 50, I in [1 .. S].\n?- step(P, I, H).', "default", "SELECT p_partkey AS \"P\", i AS \"I\", CASE WHEN i > p_size // 2 THEN 'upper' ELSE 'lower' END AS \"H\" FROM part, unnest(range(1, p_size + 1)) t(i) WHERE p_partkey < 50"),
     "facts": ("colour(\"red\", 1). colour(\"green\", 2). colour(\"red\", 1).\n?- colour(C, N).", "default", "SELECT * FROM (VALUES ('red', CAST(1 AS BIGINT)), ('green', 2)) t(\"C\", \"N\")"),
-    "ground_query": (NATION + '?- nation(_, "CHINA", _).', "default", "SELECT true AS \"__probe\" WHERE EXISTS (SELECT 1 FROM nation WHERE n_name = 'CHINA')"),
-    "nullary": (NATION + 'any() :- nation(_, "CHINA", _).\nnone() :- nation(_, "NOWHERE", _).\n?- nation(N, _, _), any(), not none().', "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation'),
+    "ground_query": (NATION + '?- nation(_, "NATION_7", _).', "default", "SELECT true AS \"__probe\" WHERE EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_7')"),
+    "nullary": (NATION + 'any() :- nation(_, "NATION_7", _).\nnone() :- nation(_, "NOWHERE", _).\n?- nation(N, _, _), any(), not none().', "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation'),
     "constraint_ok": (CUSTOMER + ORDERS + "known(C) :- customer(C, _, _, _, _).\n!- orders(_, C, _, _, _, _), not known(C).\noutput predicate checked(count(*)) :- orders(_, _, _, _, _, _).", "checked", 'SELECT count(*) AS "count" FROM orders'),
     "refinement": (NATION + "key(N: integer, _: N >= 0) :- nation(N, _, _).\n?- key(N).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation'),
     "head_names": (CUSTOMER + "output predicate s(N, count(*) as K, K * 2) :- customer(_, _, N, _, _).", "s", 'SELECT CAST(c_nationkey AS BIGINT) AS "N", count(*) AS "count", 2 * count(*) AS "col3" FROM customer GROUP BY 1'),

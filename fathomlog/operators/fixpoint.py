@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlog.plans.desugar import Core
+from fathomlog.plans.desugar import ITERATORS, Core
 from fathomlog.plans.typing import Type
 from fathomlog.storage import Store
-from fathomlog.syntax import Atom, ProgramError, Rule, aggregates
+from fathomlog.syntax import Atom, Eq, ProgramError, Range, Rule, Var, aggregates, variables
 
 from .rules import Relation, columns, empty, rule_rows
 
@@ -81,6 +81,35 @@ def check_strata(core: Core) -> None:
                         raise ProgramError(f"{p} depends on {'the negation of ' if a.negated else ''}{a.pred} in its own stratum with {'the same' if a.negated else 'another'} polarity")
 
 
+def check_safety(core: Core) -> None:
+    """Every variable is bound by a positive atom, or from bound ones by an equality, range or iteration."""
+    bodies = [(r.pred, r.body, variables([t.expr for t in r.terms])) for rules in core.rules.values() for r in rules]
+    bodies += [("a constraint", c.body, []) for c in core.constraints]
+    bodies += [("the query", core.query.body, [])] if core.query else []
+    for name, body, head in bodies:
+        bound: set[str] = set()
+        grown = True
+        while grown:
+            before = len(bound)
+            for e in body:
+                if isinstance(e, Atom) and not e.negated:
+                    iterates = e.pred in ITERATORS and core.arity(e.pred) is None
+                    if not iterates:
+                        bound |= {a.name for a in e.args if isinstance(a, Var)}
+                    elif set(variables(e.args[0])) <= bound:
+                        bound |= {a.name for a in e.args[1:] if isinstance(a, Var)}
+                elif isinstance(e, Eq):
+                    for x, y in ((e.left, e.right), (e.right, e.left)):
+                        if isinstance(x, Var) and x.name not in variables(y) and set(variables(y)) <= bound:
+                            bound.add(x.name)
+                elif isinstance(e, Range) and isinstance(e.expr, Var) and set(variables([e.low, e.high])) <= bound:
+                    bound.add(e.expr.name)
+            grown = len(bound) > before
+        loose = [v for v in [*head, *(v for e in body for v in variables(e))] if v not in bound and not v.startswith("$anon")]
+        if loose:
+            raise ProgramError(f"{name}: no positive atom binds {', '.join(dict.fromkeys(loose))}")
+
+
 class Engine:
     """Relations of all predicates of a program."""
 
@@ -96,6 +125,7 @@ class Engine:
 
     def run(self, wanted: set[str] | None = None) -> None:
         """Evaluate the strata that ``wanted`` needs; all by default."""
+        check_safety(self.core)
         check_strata(self.core)
         needed = None if wanted is None else self._closure(wanted)
         for part in strata(self.core):

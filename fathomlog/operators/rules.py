@@ -375,7 +375,7 @@ def rule_rows(spark: SparkSession, rule: Rule, sig: dict[str, list[Type]], relat
     try:
         exprs, head, aggs = head_env(exprs, typer)
         if aggs:
-            df, cols = _grouped(df, exprs, aggs, typer, cols)
+            df, cols = _grouped(df, exprs, aggs, typer, head, cols)
         out, guards = [], []
         for k, (e, want) in enumerate(zip(exprs, target, strict=True)):
             t = head.of(e)
@@ -401,7 +401,7 @@ def _constant(e) -> bool:
     return not variables(e)
 
 
-def _grouped(df: DataFrame, exprs: list, aggs: list[Agg], typer: Typer, cols: dict[str, Column]):
+def _grouped(df: DataFrame, exprs: list, aggs: list[Agg], typer: Typer, head: Typer, cols: dict[str, Column]):
     """Groups by head arguments without aggregates that are not constant; aggregates become columns."""
     keys = [e for e in exprs if not any(v.startswith("$agg") for v in variables(e)) and not _constant(e)]
     names = {}
@@ -422,7 +422,7 @@ def _grouped(df: DataFrame, exprs: list, aggs: list[Agg], typer: Typer, cols: di
     for k, e in enumerate(exprs):
         if e in keys and not isinstance(e, Var):
             t = typer.of(e)
-            typer.env[f"$g{k}"] = Type(t.type.base, False if t.partial else t.type.nullable, t.type.shape)
+            head.env[f"$g{k}"] = Type(t.type.base, False if t.partial else t.type.nullable, t.type.shape)
             out[f"$g{k}"] = F.col(f"g{keys.index(e)}")
             exprs[k] = Var(f"$g{k}")
     for e in exprs:
