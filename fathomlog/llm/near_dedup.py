@@ -31,11 +31,14 @@ from .workspace import Workspace, partitions
 SHINGLE = 5
 #: A link: LINK[0] * intersection >= LINK[1] * union.
 LINK = (100, 75)
-ROOT, BRANCH, FUNCTIONS, DEPTH = 12, 3, 120, 8
-#: Documents of a node compared exhaustively, and of a share of a larger one; documents of a
-#: block of queries; agreeing functions from which on a pair is compared by its sets (a pair
-#: at the threshold has fewer once in ten million).
-SMALL, SHARE, QUERIES, AGREE = 64, 4096, 256, 62
+ROOT, BRANCH, FUNCTIONS, DEPTH = 12, 2, 360, 10
+#: Documents of a node that first links by a spanning forest (a larger one by a star), and of
+#: one that is compared exhaustively; documents of a share of a larger one, and of a block of
+#: queries.
+FOREST, SMALL, SHARE, QUERIES = 64, 4096, 4096, 256
+#: Agreeing functions, of the first FIRST and of all, from which on a pair is compared by its
+#: sets: over five standard deviations below what a pair at the threshold has.
+FIRST, AGREE_FIRST, AGREE = 72, 34, 227
 #: Pairs verified against one copy of a document's set.
 PAIRS = 256
 
@@ -137,20 +140,32 @@ def _branch(depth: int):
 
 def _node_pairs(rows, n, comp, query, sig, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a query and any other row of the node, in different components, that may be similar."""
+    order = np.argsort(n, kind="stable")
+    rows, n, comp, query, sig = (z[order] for z in (rows, n, comp, query, sig))
     q = np.flatnonzero(query)
     xs, ys, scores = [], [], []
-    for at in range(0, len(rows), 1024):
-        part = slice(at, at + 1024)
-        agree = np.zeros((len(q), len(rows[part])), np.int16)
-        for k in range(0, FUNCTIONS, 8):
-            agree += (sig[q, None, k : k + 8] == sig[None, part, k : k + 8]).sum(axis=2, dtype=np.int16)
-        most, least = np.maximum.outer(n[q], n[part]), np.minimum.outer(n[q], n[part])
-        ok = (agree >= AGREE) & (least * LINK[0] >= most * LINK[1]) & (comp[q][:, None] != comp[part][None, :])
-        ok &= (rows[q][:, None] < rows[part][None, :]) | ~query[part][None, :]
+    for at in range(0, len(q), 64):  # queries of like sizes, against the rows of sizes that fit
+        part = q[at : at + 64]
+        low = np.searchsorted(n, -(-n[part[0]] * LINK[1] // LINK[0]))
+        high = np.searchsorted(n, n[part[-1]] * LINK[0] // LINK[1], "right")
+        agree = np.zeros((len(part), high - low), np.uint8)
+        for k in range(FIRST):
+            agree += sig[part, k][:, None] == sig[low:high, k][None, :]
+        ok = (agree >= AGREE_FIRST) & (comp[part][:, None] != comp[low:high][None, :])
+        ok &= (rows[part][:, None] < rows[low:high][None, :]) | ~query[low:high][None, :]
         x, y = np.nonzero(ok)
-        xs.append(q[x])
-        ys.append(y + at)
-        scores.append(agree[x, y])
+        x, y = part[x], y + low
+        fits = np.minimum(n[x], n[y]) * LINK[0] >= np.maximum(n[x], n[y]) * LINK[1]
+        x, y = x[fits], y[fits]
+        for at_pair in range(0, len(x), 20_000):
+            u, v = x[at_pair : at_pair + 20_000], y[at_pair : at_pair + 20_000]
+            score = (sig[u] == sig[v]).sum(axis=1, dtype=np.int16)
+            good = score >= AGREE
+            xs.append(u[good])
+            ys.append(v[good])
+            scores.append(score[good])
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y, score = np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
     if spanning and len(x) > 1:
         parent = {c: c for c in comp.tolist()}
@@ -268,8 +283,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = _crowded(root, ws, "nodes0")
     texts = source.where("row is not null")
     # First as few pairs as can join the members of each node: a forest, or a star if it is large.
-    small = nodes.where(F.col("size") <= SMALL).select("path", "row", F.lit(True).alias("query"))
-    large = nodes.where(F.col("size") > SMALL)
+    small = nodes.where(F.col("size") <= FOREST).select("path", "row", F.lit(True).alias("query"))
+    large = nodes.where(F.col("size") > FOREST)
     centre = large.groupBy("path", "size").agg(F.min("row").alias("row"))
     star = _shares(large.join(centre.select("path", "row"), ["path", "row"], "left_anti"), centre.withColumn("block", F.lit(0)))
     pairs = _pairs(small.unionByName(star), signs, None, ws, True)
