@@ -68,10 +68,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if verdicts.where(~F.col("same")).isEmpty():
         found = verdicts.select("id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("text")).distinct()
     else:  # digests in common without equal bytes: such rows are grouped by their whole texts
-        keys = ["digest", "text"]
-        groups = verdicts.groupBy(keys).agg((F.max if keep == "max" else F.min)("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        same = verdicts.drop("keep_id", "group_size").join(groups, (verdicts["digest"] == groups["digest"]) & verdicts["text"].eqNullSafe(groups["text"]))
-        found = same.select("id", verdicts["digest"], "keep_id", "group_size", verdicts["text"]).distinct()
+        best = (F.max if keep == "max" else F.min)("id")
+        groups = verdicts.groupBy(F.col("digest").alias("d"), F.col("text").alias("t")).agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        same = verdicts.drop("keep_id", "group_size").join(groups, (F.col("digest") == F.col("d")) & F.col("text").eqNullSafe(F.col("t")))
+        found = same.select("id", "digest", "keep_id", "group_size", "text").distinct()
     out = source if digest is not sha256 else runs.withColumn("text", F.lit(None).cast("string"))
     out = out.join(found.select("id", "digest", "keep_id", "group_size", F.col("text").alias("other")), ["id", "digest"], "left")
     out = out.where(F.col("other").isNull() | F.col("text").isNull() | (F.col("other") == F.col("text")))
