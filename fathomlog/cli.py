@@ -47,6 +47,8 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--output", help="only this output")
     args.add_argument("--max-iterations", type=int, default=1000)
     args.add_argument("--explain", metavar="PREDICATE")
+    args.add_argument("--dry-run", action="store_true", help="analyse only, and print warnings")
+    args.add_argument("--obligations", action="store_true", help="print SMT-LIB texts of the constraints")
     args.add_argument("--trace", action="store_true")
     given = args.parse_args(argv)
     spark = SparkSession.builder.appName("fathomlog").getOrCreate()
@@ -65,6 +67,12 @@ def main(argv: list[str] | None = None) -> int:
         if given.explain:
             session.explain(source, given.explain)
             return 0
+        for line in session.advice(source):
+            print(f"warning: {line}", file=sys.stderr)
+        if given.obligations:
+            print("\n".join(f"; {name}\n{text}" for name, text in session.obligations(source).items()))
+        if given.dry_run or given.obligations:
+            return 0
         result = session.run(source)
     except (ProgramError, ConstraintError) as e:
         print(f"error: {e}", file=sys.stderr)

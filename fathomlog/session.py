@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .operators.fixpoint import Engine
 from .operators.rules import Body, Relation, empty
+from .plans.advice import advise
 from .plans.desugar import Core, Desugar, desugar, elaborate
 from .plans.inference import infer
+from .plans.obligations import obligations
 from .plans.typing import Typer
 from .shipping import ship
 from .sources.loaders import from_frame, load
@@ -150,6 +152,15 @@ class Session:
             return df.select(F.lit(True).alias(PROBE)).limit(1)
         return df.select(*(F.col(builder.bound[v]).alias(v) for v in names)).distinct()
 
+    def advice(self, source: str) -> list[str]:
+        """Warnings: recursion that may not end, unused inputs, checks that never run."""
+        return advise(self.compile(source))
+
+    def obligations(self, source: str) -> dict[str, str]:
+        """SMT-LIB texts whose ``unsat`` proves constraints for any data."""
+        core = self.compile(source)
+        return obligations(core, self._sig)
+
     def holds(self, source: str) -> bool:
         """Whether the query of a program has an answer."""
         return not self.run(source)["default"].isEmpty()
