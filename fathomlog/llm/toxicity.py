@@ -63,30 +63,28 @@ def codes(words: list[str]) -> np.ndarray:
 
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Kernel of each row of ``s`` with the string ``t`` (code points; zeros match nothing)."""
-    n, m, d = s.shape[1], len(t), np.float32(DECAY)
+    """Kernel of each row of ``s`` with the same row of ``t``: code points, zeros after the end."""
+    n, m, d = s.shape[1], t.shape[1], np.float32(DECAY)
     rows = len(s)
+    t = np.where(t == 0, np.uint32(0xFFFFFFFF), t)
     total = np.zeros(rows, np.float32)
-    # before[i][j]: K'_i of the row's prefix so far and t[:j]
+    # before[i, j]: K'_i of the row's prefix so far and the first j characters of its t
     before = np.zeros((ORDER, m + 1, rows), np.float32)
     before[0] = 1
     for x in range(n):
-        same = [s[:, x] == c for c in t]
-        after = before.copy()
-        for i in range(1, ORDER):
-            after[i] *= d
-            run = np.zeros(rows, np.float32)
-            for j in range(i, m + 1):
-                run = d * run + d * d * before[i - 1][j - 1] * same[j - 1]
-                after[i][j] += run
-        for j in range(ORDER, m + 1):
-            total += d * d * before[ORDER - 1][j - 1] * same[j - 1]
-        before = after
+        same = (s[:, x][:, None] == t).T
+        found = before[:, :-1] * (same * (d * d))
+        total += found[ORDER - 1].sum(axis=0)
+        before[1:] *= d
+        run = np.zeros((ORDER - 1, rows), np.float32)
+        for j in range(1, m + 1):
+            run = d * run + found[:-1, j - 1]
+            before[1:, j] += run
     return total
 
 
 def _pair(a: str, b: str) -> float:
-    return float(kernel(codes([a]), codes([b])[0])[0])
+    return float(kernel(codes([a]), codes([b]))[0])
 
 
 def alike(a: str, b: str) -> float:
@@ -94,6 +92,19 @@ def alike(a: str, b: str) -> float:
     return _pair(a, b) / own**0.5 if own else 0.0
 
 
+def common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``s`` and of ``t``, by bits of t."""
+    one, full = np.uint64(1), np.uint64((1 << t.shape[1]) - 1)
+    bit = one << np.arange(t.shape[1], dtype=np.uint64)
+    t = np.where(t == 0, np.uint32(0xFFFFFFFF), t)
+    v = np.full(len(s), full, np.uint64)
+    for x in range(s.shape[1]):
+        u = v & ((s[:, x][:, None] == t) @ bit)
+        v = ((v + u) | (v - u)) & full
+    zeros = ~v & full
+    return ((zeros[:, None] & bit) != 0).sum(axis=1)
+
+
 @dataclass
 class Model:
     """Landmarks, the weights of their values, and the margin's turn into a probability."""
@@ -105,24 +116,41 @@ class Model:
     slope: float
     shift: float
 
+    def needed(self, mark: str) -> int:
+        """Characters, in order, that a word must share with a landmark to have a value."""
+        return max(ORDER, len(mark) - (1 if len(mark) <= 7 else 2))
+
+    def _tables(self):
+        """For a first sieve: characters of all landmarks, and how often each landmark has them."""
+        chars = sorted({c for m in self.landmarks for c in m})
+        times = np.array([[m.count(c) for m in self.landmarks] for c in chars], np.float32).reshape(len(chars), len(self.landmarks))
+        once, twice = np.minimum(times, 1), np.clip(times - 1, 0, 1)
+        spare = (times - once - twice).sum(axis=0)
+        return [ord(c) for c in chars], np.concatenate([once, twice]), spare, np.array([self.needed(m) for m in self.landmarks])
+
     def values(self, words: list[str]) -> np.ndarray:
         """Kernel values over the landmark's own, words by landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        if not words:
+        if not words or not self.landmarks:
             return out
+        chars, times, spare, needed = self._tables()
+        marks = codes(self.landmarks)
         order = np.argsort([len(w) for w in words], kind="stable")
         for at in range(0, len(words), 4096):
             part = order[at : at + 4096]
             s = codes([words[k] for k in part])
-            for k, mark in enumerate(self.landmarks):
-                t = codes([mark])[0]
-                # Without ORDER of the landmark's characters somewhere, the kernel is zero.
-                shared = np.zeros(len(s), np.int8)
-                for c in t:
-                    shared += (s == c).any(axis=1)
-                some = np.flatnonzero(shared >= ORDER)
-                if len(some):
-                    out[part[some], k] = kernel(s[some], t) / self.own[k]
+            held = np.empty((len(s), 2 * len(chars)), np.float32)
+            for k, c in enumerate(chars):
+                n = (s == c).sum(axis=1)
+                held[:, k] = n >= 1
+                held[:, len(chars) + k] = n >= 2
+            w, k = np.nonzero(held @ times + spare >= needed)
+            for first in range(0, len(w), 8192):
+                u, v = w[first : first + 8192], k[first : first + 8192]
+                close = common(s[u], marks[v]) >= needed[v]
+                u, v = u[close], v[close]
+                if len(u):
+                    out[part[u], v] = kernel(s[u], marks[v]) / self.own[v]
         np.minimum(out, 1, out=out)
         out[out < LEAST] = 0
         return out
@@ -141,15 +169,14 @@ class Words:
         self.model, self.new, self.old = model, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        fresh = []
-        for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-                else:
-                    fresh.append(w)
-        for w, v in zip(fresh, self.model.values(fresh), strict=True):
-            self.new[w] = v if v.any() else None
+        missing = words - self.new.keys()
+        known = missing & self.old.keys()
+        self.new.update((w, self.old[w]) for w in known)
+        fresh = list(missing - known)
+        values = self.model.values(fresh)
+        self.new.update(dict.fromkeys(fresh))
+        for k in np.flatnonzero(values.any(axis=1)).tolist():
+            self.new[fresh[k]] = values[k]
 
     def turn(self) -> None:
         if len(self.new) > self.LIMIT:
@@ -159,8 +186,8 @@ class Words:
         """Largest values over the words of each text, then damped sums."""
         m = len(self.model.landmarks)
         out = np.zeros((len(texts), 2 * m), np.float32)
-        for at in range(0, len(texts), 50):
-            sets = [strings(t) for t in texts[at : at + 50]]
+        for at in range(0, len(texts), 200):
+            sets = [strings(t) for t in texts[at : at + 200]]
             self.learn(set().union(*sets))
             for k, s in enumerate(sets):
                 if rows := [v for v in map(self.new.__getitem__, s) if v is not None]:
@@ -262,7 +289,7 @@ def choose(candidates: list[str], toxic: list[list[int]], clean: list[list[int]]
         n[found] += 1
     p, rate = hold.sum(axis=0), len(toxic) / (len(toxic) + len(clean))
     need = np.full(len(toxic), COVER)
-    usable = np.array([len(c) >= ORDER for c in candidates])
+    usable = np.array([len(c) >= GRAM for c in candidates], bool)
     chosen: list[str] = []
     while len(chosen) < TOXIC:
         gain = np.where(usable, _evidence(p, n, rate, hold[need > 0].sum(axis=0)), 0)
@@ -306,8 +333,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, i
     candidates = [r[0] for r in best]
     held = chosen.mapInArrow(_present(candidates), "found array<int>, label int").collect()
     landmarks = choose(candidates, [r[0] for r in held if r[1] == 1], [r[0] for r in held if r[1] == 0])
-    for gram, *_ in grams.where(n > 0).orderBy(F.desc("n"), "gram").limit(50).collect():
-        if len(landmarks) < TOXIC + CLEAN and len(gram) >= ORDER and all(alike(gram, c) < ALIKE for c in landmarks):
+    for gram, *_ in grams.where((n > 0) & (F.length("gram") >= GRAM)).orderBy(F.desc("n"), "gram").limit(50).collect():
+        if len(landmarks) < TOXIC + CLEAN and len(gram) >= GRAM and all(alike(gram, c) < ALIKE for c in landmarks):
             landmarks.append(gram)
     own = np.array([_pair(m, m) for m in landmarks])
     model = Model(landmarks, own, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
