@@ -1 +1 @@
-
+"""From the surface language to typed plain rules."""

@@ -1,4 +1,4 @@
-"""CSV, JSON, JSON lines, Parquet and Mermaid files, and JSON over HTTP.
+"""CSV, JSON, JSON lines, Parquet and Mermaid files; JSON, CSV and spreadsheets over HTTP.
 
 All but Mermaid and HTTP are read by Spark in parallel. A cell that its declared type does
 not admit fails the load, with the column in the message, rather than becoming null.
@@ -6,7 +6,8 @@ not admit fails the load, with the column in the message, rather than becoming n
 
 from __future__ import annotations
 
-import json
+import csv as csv_module
+import io
 import re
 import urllib.request
 from collections.abc import Callable
@@ -151,13 +152,39 @@ def json_file(spark: SparkSession, path: str, decl: Input) -> DataFrame:
     return document(spark, spark.read.text(path, wholetext=True), decl)
 
 
-def json_url(spark: SparkSession, url: str, decl: Input) -> DataFrame:
+def fetch(url: str) -> str:
+    """Text of a page; http and https only."""
     if not re.match(r"https?://", url):
         raise ProgramError(f"{url}: only http and https")
     with urllib.request.urlopen(url, timeout=60) as f:
-        text = f.read().decode()
-    json.loads(text)
-    return document(spark, spark.createDataFrame([(text,)], "value string"), decl)
+        return f.read().decode()
+
+
+def json_url(spark: SparkSession, url: str, decl: Input) -> DataFrame:
+    return document(spark, spark.createDataFrame([(fetch(url),)], "value string"), decl)
+
+
+def csv_url(spark: SparkSession, url: str, decl: Input) -> DataFrame:
+    """A CSV page with a header, read by the driver; rows of another width than it are errors."""
+    rows = [r for r in csv_module.reader(io.StringIO(fetch(url).lstrip("\ufeff"))) if r]
+    names = rows[0] if rows else []
+    for c in decl.columns:
+        if names.count(c.name) != 1:
+            raise ProgramError(f"{url}: column {c.name} stands {names.count(c.name)} times in the header")
+    for k, r in enumerate(rows):
+        if len(r) != len(names):
+            raise ProgramError(f"{url}: line {k + 1} has {len(r)} cells, not {len(names)}")
+    at = [names.index(c.name) for c in decl.columns]
+    raw = spark.createDataFrame([[r[k] for k in at] for r in rows[1:]], ", ".join(f"x{k} string" for k in range(len(at))))
+    return raw.select(*(cell(F.col(f"x{k}"), c, decl.name).alias(f"c{k}") for k, c in enumerate(decl.columns)))
+
+
+def sheet(spark: SparkSession, url: str, decl: Input) -> DataFrame:
+    """A shared spreadsheet by its address (its ``gid`` names the sheet), through its CSV export."""
+    found = re.match(r"(https://docs\.google\.com/spreadsheets/d/[^/]+)(?:.*?[#&?]gid=([0-9]+))?", url)
+    if not found:
+        raise ProgramError(f"{url} is no spreadsheet")
+    return csv_url(spark, f"{found[1]}/export?format=csv&gid={found[2] or 0}", decl)
 
 
 def from_frame(df: DataFrame, decl: Input) -> DataFrame:
@@ -259,11 +286,13 @@ def load(spark: SparkSession, path: str, decl: Input, fmt: str | None = None) ->
     if path.startswith("gh:"):
         owner, repo, rest = path[3:].split("/", 2)
         path = f"https://raw.githubusercontent.com/{owner}/{repo}/HEAD/{rest}"
-    kind = fmt or path.rsplit(".", 1)[-1].lower()
+    kind = fmt or path.split("?")[0].rsplit(".", 1)[-1].lower()
     if re.match(r"https?://", path):
-        if kind != "json":
-            raise ProgramError(f"{path}: only JSON is read over HTTP")
-        return json_url(spark, path, decl)
+        if "docs.google.com/spreadsheets" in path or fmt == "gsheet":
+            return sheet(spark, path, decl)
+        if kind not in ("json", "csv"):
+            raise ProgramError(f"{path}: only JSON, CSV and spreadsheets are read over HTTP")
+        return (json_url if kind == "json" else csv_url)(spark, path, decl)
     if kind not in LOADERS:
         raise ProgramError(f"{path}: unknown format {kind}")
     return LOADERS[kind](spark, path, decl)

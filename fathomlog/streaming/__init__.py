@@ -1 +1 @@
-
+"""Programs over growing inputs: see ``fathomlog.streaming.growing``."""

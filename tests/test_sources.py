@@ -56,3 +56,26 @@ def test_parquet(spark, tmp_path):
 def test_mermaid(spark, tmp_path):
     assert mermaid_edges("graph TD\n a --> b --> c\n b -->|x| d\n c -- y --> a\n a & b --> c\n") == [("a", "b", ""), ("b", "c", ""), ("b", "d", "x"), ("c", "a", "y")]
     assert load(spark, tmp_path, "e.mmd", "flowchart LR\n a --> b\n", "input predicate e(x, y). ?- e(X, Y).") == {("a", "b")}
+
+
+def test_http(spark, monkeypatch):
+    import io
+
+    from fathomlog.sources import loaders
+    from fathomlog.syntax import ProgramError, parse
+
+    seen = []
+
+    def urlopen(url, timeout):
+        seen.append(url)
+        return io.BytesIO(b'{"a": 1}' if url.endswith(".json") else b"n,x\n1,a\n2,b\n")
+
+    monkeypatch.setattr(loaders.urllib.request, "urlopen", urlopen)
+    decl = parse("input predicate p(x: string, n: integer).").statements[0]
+    rows = loaders.load(spark, "https://docs.google.com/spreadsheets/d/KEY/edit#gid=7", decl).collect()
+    assert {tuple(r) for r in rows} == {("a", 1), ("b", 2)} and seen == ["https://docs.google.com/spreadsheets/d/KEY/export?format=csv&gid=7"]
+    doc = parse("input predicate d(v: value).").statements[0]
+    assert loaders.load(spark, "gh:owner/repo/dir/file.json", doc).first()[0] == '{"a":1}'
+    assert seen[-1] == "https://raw.githubusercontent.com/owner/repo/HEAD/dir/file.json"
+    with pytest.raises(ProgramError):
+        loaders.fetch("ftp://x/y.json")

@@ -55,3 +55,16 @@ def test_notebook_cells(spark):
     cells.run("", "p(1). p(2).", names)
     assert cells.run("found", "?- p(X), X > 1.", names).split() == ["X", "2"]
     assert names["found"]["X"].tolist() == [2]
+
+
+def test_streamed_input(spark, tmp_path):
+    from fathomlog.streaming.growing import follow
+
+    for k in range(3):
+        spark.createDataFrame([(k, k + 1)], "a long, b long").write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("a long, b long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    program = "input predicate e(a: integer, b: integer). t(X, Y) :- e(X, Y). t(X, Z) :- t(X, Y), e(Y, Z). ?- t(X, Y)."
+    query = follow(Session(spark), program, "e", stream, f"{tmp_path}/state", lambda r, _: seen.append({tuple(x) for x in r["default"].collect()}))
+    query.awaitTermination()
+    assert seen[-1] == {(0, 1), (1, 2), (2, 3), (0, 2), (1, 3), (0, 3)} and len(seen) >= 1
