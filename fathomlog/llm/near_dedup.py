@@ -86,7 +86,7 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), 1 << 20):
+            for block in blocks(batch.column(1)):
                 value, bounds = shingle_sets(block, n)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
@@ -108,7 +108,7 @@ def _sketch(n: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), 1 << 20):
+            for block in blocks(batch.column(1)):
                 value, bounds = shingle_sets(block, n)
                 raw = [value[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(raw, pa.binary())], ["row", "set"])

@@ -1,6 +1,6 @@
 """Vectorised text primitives: spans of bytes and their 64-bit hashes, a block of rows at a time.
 
-A block is a few megabytes of UTF-8, so that every temporary array stays small whatever
+A block is half a megabyte of UTF-8, so that every temporary array stays small whatever
 the length of the texts. Hashes are polynomial in the ring of 64-bit integers over a table
 of random byte values, finished by a mixing step; they take the length in, too.
 """
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
