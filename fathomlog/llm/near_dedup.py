@@ -289,11 +289,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     star = _shares(large.join(centre.select("path", "row"), ["path", "row"], "left_anti"), centre.withColumn("block", F.lit(0)))
     pairs = _pairs(small.unionByName(star), signs, None, ws, True)
     links = ws.write(_confirm(ws.write(pairs.distinct(), "pairs-first"), texts, ws, "first", n), "links-first")
+    ws.drop("first-sets")
     comp = components(links, ws, "comp-first")
-    # Then all pairs of each node that lie in different components.
-    rest = ws.write(_pairs(_mixed(nodes, comp, signs, ws), signs, comp, ws, False).distinct(), "pairs-rest")
-    more = ws.write(_confirm(rest.join(links, ["a", "b"], "left_anti"), texts, ws, "rest", n), "links-rest")
-    comp = components(links.unionByName(more), ws, "comp-rest")
+    # Then a forest over what each node's components may still be joined by, and at last all
+    # pairs that lie in different components: few, as most of a group is one by then.
+    for phase in ("again", "rest"):
+        nodes_left = _mixed(nodes, comp, signs, ws, phase)
+        todo = ws.write(_pairs(nodes_left, signs, comp, ws, phase == "again").distinct(), f"pairs-{phase}")
+        found = ws.write(_confirm(todo.join(links, ["a", "b"], "left_anti"), texts, ws, phase, n), f"links-{phase}")
+        ws.drop(f"{phase}-sets", f"{phase}-mixed0")
+        links = links.unionByName(found)
+        comp = components(links, ws, f"comp-{phase}")
     whole = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     # A row that repeats an id with another set joins both sets' components.
     out = sketch.select("row", "n", "d1", "d2").join(whole, ["d1", "d2", "n"], "left")
@@ -331,14 +337,14 @@ def _pairs(nodes: DataFrame, signs: DataFrame, comp: DataFrame | None, ws: Works
     return dealt.mapInArrow(_compare(spanning), "a long, b long")
 
 
-def _mixed(nodes: DataFrame, comp: DataFrame, signs: DataFrame, ws: Workspace) -> DataFrame:
+def _mixed(nodes: DataFrame, comp: DataFrame, signs: DataFrame, ws: Workspace, phase: str) -> DataFrame:
     """Nodes (path, row, query) whose rows lie in several components, large ones branched or in shares."""
     out, depth = None, 0
     while True:
         labelled = nodes.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component")
         counts = labelled.groupBy("path", "size", "comp").agg(F.count(F.lit(1)).alias("rows"))
         mixed = counts.groupBy("path").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        live = ws.write(labelled.hint("merge").join(mixed.select("path", "main", "most"), "path"), f"mixed{depth}")
+        live = ws.write(labelled.hint("merge").join(mixed.select("path", "main", "most"), "path"), f"{phase}-mixed{depth}")
         other = F.col("size") - F.col("most")
         small = live.where(F.col("size") <= SMALL).select("path", "row", F.lit(True).alias("query"))
         few = live.where(F.col("size") > SMALL)
@@ -352,4 +358,4 @@ def _mixed(nodes: DataFrame, comp: DataFrame, signs: DataFrame, ws: Workspace) -
         if depth == DEPTH or deep.isEmpty():
             return out
         depth += 1
-        nodes = _crowded(deep.select("path", "row").join(signs.select("row", "sig"), "row").select("path", "row", "sig").mapInArrow(_branch(depth), "path long, row long"), ws, f"nodes{depth}")
+        nodes = _crowded(deep.select("path", "row").join(signs.select("row", "sig"), "row").select("path", "row", "sig").mapInArrow(_branch(depth), "path long, row long"), ws, f"{phase}-nodes{depth}")
