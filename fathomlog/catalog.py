@@ -167,6 +167,19 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
         "revenue",
         'SELECT n_name AS "N", round(sum(l_extendedprice * (1 - l_discount)), 2) AS "col2" FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1',
     ),
+    # Whole tables for the operators whose queries above read the first ids only.
+    "null_join_all": (
+        CUSTOMER + ORDERS + NO_P + 'lj(C, N) :- customer(C, _, N, _, _), p_order(C).\nlj(C, null) :- customer(C, _, _, _, _), not p_order(C).\nm(N, count(*)) :- lj(A, N), lj(B, N).\n?- m(N, K).',
+        "default",
+        None,
+    ),
+    "range_bind_all": (PART + 'step(P, I, I > S / 2 ? "upper" : "lower") :- part(P, _, _, _, S, _), I in [1 .. S].\n?- step(P, I, H).', "default", "SELECT p_partkey AS \"P\", i AS \"I\", CASE WHEN i > p_size // 2 THEN 'upper' ELSE 'lower' END AS \"H\" FROM part, unnest(range(1, p_size + 1)) t(i)"),
+    "int_division_all": (ORDERS + "?- orders(O, _, _, _, _, _), Q = O / 7, R = (0 - O) % 7, H = (0 - O) / 7.", "default", 'SELECT o_orderkey AS "O", o_orderkey // 7 AS "Q", -(o_orderkey % 7) AS "R", -(o_orderkey // 7) AS "H" FROM orders'),
+    "bitwise_all": (ORDERS + "?- orders(O, _, _, _, _, _), A = O & 12, B = O | 3, X = O ^ 5, L = O << 2, R = O >> 1.", "default", 'SELECT o_orderkey AS "O", o_orderkey & 12 AS "A", o_orderkey | 3 AS "B", xor(o_orderkey, 5) AS "X", o_orderkey << 2 AS "L", o_orderkey >> 1 AS "R" FROM orders'),
+    "strings_all": (CUSTOMER + '?- customer(C, N, _, _, S), U = upper(S), L = lower(S), A = S[0], P = S[1:4], G = length(N), R = replace(N, "Customer", "C"), T = S + "/" + C.', "default", 'SELECT c_custkey AS "C", c_name AS "N", c_mktsegment AS "S", upper(c_mktsegment) AS "U", lower(c_mktsegment) AS "L", c_mktsegment[1] AS "A", c_mktsegment[2:4] AS "P", CAST(length(c_name) AS BIGINT) AS "G", replace(c_name, \'Customer\', \'C\') AS "R", c_mktsegment || \'/\' || c_custkey AS "T" FROM customer'),
+    "json_iter_all": (EVENTS + "?- events(E, _, _, _, _, P), object_entry(parse_json(P), Key, V), T = type_of(V).", "default", f"SELECT event_id AS \"E\", props AS \"P\", 'k' AS \"Key\", CAST({K} AS VARCHAR) AS \"V\", 'number' AS \"T\" FROM events"),
+    "dates_all": (ORDERS + '?- orders(O, _, _, _, D, _), Y = D[0:4].', "default", "SELECT o_orderkey AS \"O\", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS \"D\", strftime(o_orderdate, '%Y') AS \"Y\" FROM orders"),
+    "proof_terms_all": (TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z).\n?- path(C, X, Y).", "default", None),
     "documents_by_language": (DOCS + "output predicate sizes(L, count(*), sum(N), max(N)) :- documents(_, L, _, N).", "sizes", 'SELECT lang AS "L", count(*) AS "count", CAST(sum(n_chars) AS BIGINT) AS "sum", max(n_chars) AS "max" FROM documents GROUP BY 1'),
 }
 

@@ -32,3 +32,37 @@ def test_query(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert shape(got.columns, [tuple(r) for r in got.collect()]) == shape(names, want.fetchall())
+
+
+WHOLE = ["range_bind_all", "int_division_all", "bitwise_all", "strings_all", "json_iter_all", "dates_all"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables(spark, name):
+    test_query(spark, name)
+
+
+def test_whole_null_join(spark, tmp_path):
+    """Every pair of customers counts, in the null group, too: ids beyond the bounds of null_join."""
+    keys = [3, 25, 399, 400, 5_000, 70_000]
+    nations = dict(zip(keys, [1, 1, 2, 2, 2, 1], strict=True))
+    with_p = {3, 399, 400, 70_000}
+    spark.createDataFrame([(k, f"c{k}", nations[k], 0.0, "s") for k in keys], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, k, "P" if k in with_p else "O", 1.0, "1990-01-01", "p") for n, k in enumerate(keys)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    group = {k: nations[k] if k in with_p else None for k in keys}
+    want = {}
+    for a in keys:
+        for b in keys:
+            if group[a] == group[b]:
+                want[group[a]] = want.get(group[a], 0) + 1
+    assert {r.N: r.K for r in catalog.queries()["null_join_all"](spark, str(tmp_path)).collect()} == want == {1: 4, 2: 4, None: 4}
+
+
+def test_whole_proof_terms(spark, tmp_path):
+    """Paths of all conversations from all turns, where proof_terms takes ids below 20 and turns below 2."""
+    turns = [(c, t, "user") for c, n in ((1, 6), (20, 5), (900, 4)) for t in range(n) if (c, t) != (20, 2)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    have = {(c, t) for c, t, _ in turns}
+    want = {(c, x, y) for c, x in have for _, y in have if x < y and all((c, t) in have for t in range(x, y + 1))}
+    assert {(r.C, r.X, r.Y) for r in catalog.queries()["proof_terms_all"](spark, str(tmp_path)).collect()} == want
