@@ -6,8 +6,10 @@ once in both, in an order that both keep (a longest increasing run), are anchors
 between anchors are aligned likewise, and matches grow over equal neighbours. Aligned blocks
 of at least ``BLOCK`` characters are deleted from the later document.
 
-A document has at most ``RAREST`` partners, whatever the number of documents that share a
-line: each of its rarest shared lines names one. So pairs stay linear in the documents.
+Partners are asked in rounds, ``RAREST`` lines at first and twice as many in each round after:
+shared lines that no deleted block covers, and whose earliest holder was not asked, name the
+next ones, until none is left. A line names one partner, whatever the number of documents that
+share it, so pairs stay linear in the lines and rounds logarithmic in those of a document.
 Texts equal to an earlier one are dropped whole first, and only first texts are aligned.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .spans import as_strings
 from .workspace import Workspace
 
-#: Shared lines that name partners; least characters of a line that may, and of a deleted block.
+#: Shared lines that name partners in the first round; least characters of a line that may, and of a deleted block.
 RAREST, LINE, BLOCK = 4, 20, 60
 
 
@@ -98,6 +100,17 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "key", "gone"])
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, key, rare, asked, lines, gone): the rare lines that stay so far and whose holder was not asked."""
+    for batch in batches:
+        rest = []
+        for rare, asked, lines, gone in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            covered, known = {k for part in gone or [] for k in part}, set(asked)
+            stay = {x for k, x in enumerate(lines) if k not in covered}
+            rest.append([x for x in rare if x["earliest"] not in known and x["line"] in stay])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rest, batch.schema.field(2).type)], ["id", "key", "rare"])
+
+
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
@@ -110,6 +123,14 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept)], ["id", "key", "kept_text"])
 
 
+def _together(rounds: list[DataFrame]) -> DataFrame:
+    """The rounds' deletions, one row for each document."""
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out if len(rounds) == 1 else out.groupBy("id", "key").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.sum("partners").alias("partners"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id_col, n_lines, n_removed, partners, kept_text.
 
@@ -134,14 +155,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = unique.select("id", "key", F.explode(F.array_distinct(F.transform(long_line, lambda x: x["lines"]))).alias("line"))
     index = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("earliest")).where("df > 1")
     found = held.hint("merge").join(index, "line").where("earliest < id")
-    rare = found.groupBy("id", "key").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "line", "earliest"))), 1, RAREST).alias("rare"))
-    pairs = ws.write(rare.select("id", "key", F.explode(F.array_distinct(F.transform("rare", lambda x: x["earliest"]))).alias("earlier")), "pairs")
-    mine = pairs.join(unique, ["id", "key"])
-    # An id may stand for several texts; its line lists then follow one another.
-    other = unique.groupBy("id").agg(F.flatten(F.collect_list("lines")).alias("others")).withColumnRenamed("id", "earlier")
-    aligned = mine.join(other, "earlier").select("id", "key", "lines", "sizes", "others")
-    gone = aligned.mapInArrow(_align, f"id {kind.simpleString()}, key string, gone array<int>").where("size(gone) > 0")
-    gone = ws.write(gone.groupBy("id", "key").agg(F.collect_list("gone").alias("gone"), F.count(F.lit(1)).alias("partners")), "gone")
+    todo = ws.write(found.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("df", "line", "earliest"))).alias("rare")), "shared0")
+    shared, take, rounds = todo.schema["rare"].dataType.simpleString(), RAREST, []
+    while True:
+        k = len(rounds)
+        turn = todo.withColumn("asked", F.array_distinct(F.transform(F.slice("rare", 1, take), lambda x: x["earliest"])))
+        pairs = ws.write(turn.select("id", "key", F.explode("asked").alias("earlier")), f"pairs{k}")
+        mine = pairs.join(unique, ["id", "key"])
+        # An id may stand for several texts; its line lists then follow one another.
+        holders = unique.join(pairs.select(F.col("earlier").alias("id")).distinct(), "id", "left_semi")
+        other = holders.groupBy("id").agg(F.flatten(F.collect_list("lines")).alias("others")).withColumnRenamed("id", "earlier")
+        aligned = mine.join(other, "earlier").select("id", "key", "lines", "sizes", "others")
+        gone = aligned.mapInArrow(_align, f"id {kind.simpleString()}, key string, gone array<int>").where("size(gone) > 0")
+        rounds.append(ws.write(gone.groupBy("id", "key").agg(F.collect_list("gone").alias("gone"), F.count(F.lit(1)).alias("partners")), f"gone{k}"))
+        more = turn.where("size(array_distinct(transform(rare, x -> x.earliest))) > size(asked)").join(unique.select("id", "key", "lines"), ["id", "key"])
+        so_far = _together(rounds).select("id", "key", "gone")
+        left = more.join(so_far, ["id", "key"], "left").select("id", "key", "rare", "asked", "lines", "gone")
+        todo = ws.write(left.mapInArrow(_open, f"id {kind.simpleString()}, key string, rare {shared}").where("size(rare) > 0"), f"shared{k + 1}")
+        if todo.isEmpty():
+            break
+        take *= 2
+    gone = _together(rounds)
     kept = keyed.hint("merge").join(gone, ["id", "key"]).select("id", "key", "text", "gone").mapInArrow(_delete, f"id {kind.simpleString()}, key string, kept_text string").dropDuplicates(["id", "key"])
     removed = gone.select("id", "key", "partners", F.size(F.array_distinct(F.flatten("gone"))).alias("removed")).join(kept, ["id", "key"])
     out = listed.select("id", "key", F.size("lines").alias("n_lines")).hint("merge").join(first, "key", "left").hint("merge").join(removed, ["id", "key"], "left")

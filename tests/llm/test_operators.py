@@ -144,6 +144,18 @@ def test_lines(spark):
     assert found[7][1] == 0 and found[8] == (1, 0, 0, None)
 
 
+def test_lines_of_many_partners(spark):
+    """A document put together from fourteen earlier ones: every part goes, however rare its line."""
+    block = lambda k: [f"block {k}, line {n}, with words enough to be a line of its own" for n in range(2)]
+    licence = "this licence line, of more than sixty characters, stands in very many of the documents"
+    rows = [(k, "\n".join([f"the start of document {k}", *block(k)])) for k in range(14)]
+    rows += [(50 + k, f"document {50 + k} has a start\n{licence}") for k in range(20)]
+    rows += [(100, "\n".join(["its own first line", *(x for k in range(14) for x in block(k)), licence, "its own last line"]))]
+    found = by_id(line_dedup(table(spark, rows)))
+    assert found[100] == (31, 29, 15, "its own first line\nits own last line")
+    assert found[50] == (2, 0, 0, None) and all(found[51 + k] == (2, 1, 1, f"document {51 + k} has a start") for k in range(19))
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(60, 6))
