@@ -28,7 +28,10 @@ def run(program: str, label: str, spark: SparkSession, sf_dir: str) -> DataFrame
         if isinstance(s, Input) and s.name in KEYS:
             unique = {c.name for c in s.columns} >= KEYS[s.name]
             session.bind(s.name, spark.read.parquet(f"{sf_dir}/{s.name}.parquet"), unique=unique)
-    return session.run(program)[label]
+    result = session.run(program)
+    if result.capped:
+        raise RuntimeError(f"recursion was cut off: {', '.join(result.capped)}")
+    return result[label]
 
 
 CUSTOMER = "input predicate customer(c_custkey: integer, c_name: string, c_nationkey: integer, c_acctbal: float, c_mktsegment: string).\n"

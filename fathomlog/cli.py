@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--input", action="append", default=[], metavar="NAME=PATH")
     args.add_argument("--format", choices=FORMATS, default="table")
     args.add_argument("--output", help="only this output")
-    args.add_argument("--max-iterations", type=int, default=1000)
+    args.add_argument("--max-iterations", type=int, help="no limit by default")
     args.add_argument("--explain", metavar="PREDICATE")
     args.add_argument("--dry-run", action="store_true", help="analyse only, and print warnings")
     args.add_argument("--obligations", action="store_true", help="print SMT-LIB texts of the constraints")

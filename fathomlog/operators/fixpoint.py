@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def check_safety(core: Core) -> None:
 class Engine:
     """Relations of all predicates of a program."""
 
-    def __init__(self, spark: SparkSession, core: Core, sig: dict[str, list[Type]], inputs: dict[str, Relation], max_iterations: int = 1000, trace: Callable[[dict], None] | None = None):
+    def __init__(self, spark: SparkSession, core: Core, sig: dict[str, list[Type]], inputs: dict[str, Relation], max_iterations: int | None = None, trace: Callable[[dict], None] | None = None):
         self.spark, self.core, self.sig = spark, core, sig
         self.relations: dict[str, Relation] = dict(inputs)
         self.max_iterations, self.trace = max_iterations, trace
@@ -211,7 +212,7 @@ class Engine:
                 self.trace({"stratum": part, "round": step, "new": {p: delta[p].count() for p in part}})
             if not live:
                 break
-            if step >= self.max_iterations:
+            if self.max_iterations is not None and step >= self.max_iterations:
                 self.capped += part
                 break
             step += 1
@@ -250,7 +251,7 @@ class Engine:
         low = [p for p in part if not self.core.rules[p][0].maximal]
         high = [p for p in part if self.core.rules[p][0].maximal]
         upper: dict[str, Relation] | None = None
-        for step in range(self.max_iterations + 1):
+        for step in count() if self.max_iterations is None else range(self.max_iterations + 1):
 
             def from_low(atom, index, upper=upper):
                 if atom.pred in high:

@@ -64,11 +64,11 @@ def head_names(rule: Rule, shown: int) -> list[str]:
 class Session:
     """Runs programs. ``directory`` holds files ``<predicate>.<extension>`` for unbound inputs.
 
-    ``max_iterations`` limits the rounds of a recursion; what was derived up to there is kept
+    ``max_iterations`` limits the rounds of a recursion (none by default); what was derived up to there is kept
     and the predicates are named in ``Result.capped``. ``trace`` gets a dict for each round.
     """
 
-    def __init__(self, spark: SparkSession, directory: str | None = None, max_iterations: int = 1000, trace: Callable[[dict], None] | None = None, resolve: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, directory: str | None = None, max_iterations: int | None = None, trace: Callable[[dict], None] | None = None, resolve: Callable[[str], str] | None = None):
         self.spark, self.directory = spark, directory
         self.max_iterations, self.trace = max_iterations, trace
         self.resolve = resolve or self._read_module

@@ -7,6 +7,9 @@ import duckdb
 import pytest
 
 from fathomlog import catalog
+from fathomlog.operators.fixpoint import Engine
+from fathomlog.plans.desugar import Core
+from fathomlog.session import Session
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["join_filter", "computed_args", "anti_join", "outer_join", "null_join", "division", "group_sum", "list_agg", "tc_nonlinear", "parity", "partial_div", "json_array", "strings", "proof_terms"]
@@ -66,3 +69,12 @@ def test_whole_proof_terms(spark, tmp_path):
     have = {(c, t) for c, t, _ in turns}
     want = {(c, x, y) for c, x in have for _, y in have if x < y and all((c, t) in have for t in range(x, y + 1))}
     assert {(r.C, r.X, r.Y) for r in catalog.queries()["proof_terms_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_no_recursion_is_cut_off(spark, monkeypatch):
+    """Recursion has no limit unless one is given; a registered query that one cuts off fails."""
+    assert catalog.Session(spark).max_iterations is None
+    assert Engine(spark, Core(), {}, {}).max_iterations is None
+    monkeypatch.setattr(catalog, "Session", lambda s: Session(s, max_iterations=3))
+    with pytest.raises(RuntimeError, match="fib"):
+        catalog.queries()["recursive_arithmetic"](spark, SF)
