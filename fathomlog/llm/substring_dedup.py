@@ -1,17 +1,20 @@
-"""Substring dedup by relative Lempel-Ziv parsing against all earlier documents.
+"""Substring dedup by looking up windows of words, against all earlier documents.
 
-A factor is a run of words that also stands in a document with a smaller id; factors of at
-least ``window`` words are duplicate spans. Reference blocks are content-defined: of the word
-grams inside each window, the one with the smallest hash is its anchor, and neighbouring
-windows with one anchor form a block. Equal windows have equal anchors, so a block can share
-windows only with the blocks indexed under its anchor:
+This is not relative Lempel-Ziv parsing: no factor is computed and no greedy parse made. A
+window of ``window`` words that also stands in a document with a smaller id is duplicate, and
+all words of duplicate windows go. A greedy parse does not list all of these: its factors do
+not overlap, so a window that begins inside one factor and ends behind it can be missed.
+Windows are grouped in content-defined blocks: of the word grams inside each window, the one
+with the smallest hash is its anchor, and neighbouring windows with one anchor form a block.
+Equal windows have equal anchors, so a block can share windows only with the blocks indexed
+under its anchor:
 
 1. One pass over the texts lists each document's blocks; blocks whose anchor stands in one
    document only are no reference for any other and go.
 2. Blocks alike in all their words are one entry of the index, with the smallest id. Blocks
-   of larger ids lie wholly in a factor.
-3. Entries that share an anchor but differ are where factors begin or end: there, each
-   window that straddles the boundary is looked up by itself.
+   of larger ids are duplicate as a whole.
+3. Entries that share an anchor but differ are where copies may begin or end: there, each
+   window is looked up by itself.
 
 Counts of rows stay linear in the words, whatever the number of copies of a passage: the
 index keeps minima, which are summed up before they are shuffled.
