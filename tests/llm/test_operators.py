@@ -13,7 +13,7 @@ from fathomlog.llm.byte_tokens import encoder
 from fathomlog.llm.embedding_dedup import embedding_dedup
 from fathomlog.llm.exact_dedup import exact_dedup, keep_unique
 from fathomlog.llm.line_dedup import line_dedup
-from fathomlog.llm.near_dedup import near_dedup
+from fathomlog.llm.near_dedup import Sizes, near_dedup
 from fathomlog.llm.packing import pack_documents
 from fathomlog.llm.piece_codec import encode_decode
 from fathomlog.llm.substring_dedup import substring_dedup
@@ -71,6 +71,32 @@ def test_near(spark, docs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("sizes", [Sizes(), Sizes(8, 16, 8, 8, 6), Sizes(4, 8, 8, 4, 1)])
+def test_near_in_split_nodes(spark, sizes):
+    """Families of near copies around the threshold, larger than nodes may be; and pairs just above it."""
+    r = random.Random(3)
+    docs = []
+    for copies, size in ((150, 200), (60, 90)):
+        base = [f"w{r.randrange(5000)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(r.randint(0, size // 25)):
+                w[r.randrange(size)] = f"x{r.randrange(10**6)}"
+            docs.append(" ".join(w))
+    for k in range(100):  # 5 of 104 and 5 of 114 shingles are others: 99 of 109 and so on down to 0.75
+        w = [f"p{k}.{j}" for j in range(74 + k % 8)]
+        docs += [" ".join(w), " ".join([*w[: len(w) // 2], "y", "y", "y", "y", "y", *w[len(w) // 2 :]])]
+    rows = list(enumerate(docs))
+    assert {x[0]: (x[1], x[2]) for x in near_dedup(table(spark, rows), sizes=sizes).collect()} == brute.near(rows)
+
+
+def test_near_with_an_id_of_two_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, one), (5, two), (8, two), (9, two + " end"), (11, one + " end"), (5, two)]
+    found = sorted(tuple(x)[:3] for x in near_dedup(table(spark, rows)).collect())
+    assert found == [(5, 56, 5), (5, 56, 5), (5, 56, 5), (8, 56, 5), (9, 57, 5), (11, 57, 5)]
+
+
 @pytest.mark.parametrize("keep", ["max", "min"])
 def test_exact(spark, docs, keep):
     rows = [*docs, (None, docs[0][1]), docs[3], docs[3]]
