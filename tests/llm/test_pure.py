@@ -15,7 +15,7 @@ from fathomlog.llm.embedding_dedup import join_boxes, join_intervals
 from fathomlog.llm.line_dedup import patience
 from fathomlog.llm.packing import best_fit_decreasing, cut, lower_bound
 from fathomlog.llm.piece_codec import PieceCodec
-from fathomlog.llm.token_counts import Counter, TokenTree
+from fathomlog.llm.token_counts import CHUNK, TokenTree
 from fathomlog.llm.toxicity import alike, strings
 from fathomlog.llm.url_filter import UrlTrie
 
@@ -43,23 +43,49 @@ def test_pieces_equal_the_library(texts):
 def test_byte_ids_equal_the_library(texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    for t in texts:
+    for t in [*texts, "a<|endoftext|>b", " <|endoftext|> \n", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>"]:
         assert encoder(path)(t) == library.encode(t, add_special_tokens=False).ids
 
 
+class Recorded:
+    """An encoder that remembers how much it was given."""
+
+    def __init__(self, encode):
+        self.encode, self.widths, self.given = encode, encode.widths, []
+
+    def __call__(self, text):
+        self.given.append(len(text))
+        return self.encode(text)
+
+
 def test_token_trees_follow_edits(texts):
     r, encode = random.Random(3), encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    counts = Counter(encode)
-    for t in texts[:200]:
-        tree = TokenTree(t, counts)
-        for _ in range(4):
+    for t in [*texts[:200], " ".join(r.choice(["the", "a", "é", "<|endoftext|>", "x\n"]) for _ in range(900))]:
+        tree = TokenTree(t, encode)
+        for _ in range(12):
             a = r.randint(0, len(t) + 2)
-            b = r.randint(a, len(t) + 3)
-            new = r.choice(["", " ", "the", " the ", "\n", "'s", "é "])
+            b = r.randint(a, r.choice([a + 5, len(t) + 5]))
+            new = r.choice(["", " ", "the", " the ", "\n", "'s", "é ", "<|endoftext|>", "many more words " * 30])
             tree.edit(a, b, new)
             t = t[:a] + new + t[b:]
-            assert "".join(tree.leaves) == t and tree.total == len(encode(t)) and tree.length == len(t)
+            assert "".join(tree.leaves()) == t and tree.total == len(encode(t)) and tree.length == len(t)
+
+
+def test_edits_encode_only_what_they_touch():
+    r, encode = random.Random(4), Recorded(encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    t = " ".join("x" * r.randint(65, 90) for _ in range(1001))
+    tree = TokenTree(t, encode)
+    assert encode.given == [len(t)]
+    for _ in range(200):
+        encode.given.clear()
+        at, encoded = r.randint(0, len(t)), tree.encoded
+        until = at + r.choice([0, 0, 300])
+        new = r.choice(["", " two more", " a " * 3 * CHUNK])
+        tree.edit(at, until, new)
+        t = t[:at] + new + t[until:]
+        assert len(encode.given) == 1 and encode.given[0] <= len(new) + 6 * 300
+        assert tree.encoded - encoded <= 3 * 3 * CHUNK + 12
+    assert tree.total == len(encode.encode(t)) and "".join(tree.leaves()) == t
 
 
 def test_packing_bounds():
