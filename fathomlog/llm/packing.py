@@ -3,9 +3,12 @@
 Documents become token sequences of at most ``capacity``; longer ones are cut so that all
 pieces but the first are full. Pieces are dealt to partitions of bounded size, each packed
 best-fit decreasing. A lower bound by dual-feasible functions certifies a partition's bin
-count; where bins exceed the bound, and wherever bins have gaps that together could make
-one bin less, the documents of those bins move on, several partitions' together, and are
-packed again. Only lengths travel, never texts or ids.
+count: no packing of its pieces takes fewer, so its bins are final, but for the emptiest one,
+since rests of several partitions may still share a bin. Of partitions with a gap between
+count and bound, all bins with room exchange their documents: those bins are dealt to new
+partitions and packed best-fit decreasing again, round after round, until no partition has a
+gap, one partition is left, or a round saves too little. Only lengths travel, never texts or
+ids.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .spans import as_strings
 from .workspace import Workspace, small_batches
 
 CAPACITY = 2048
-#: Pieces packed in one partition; partitions whose gaps are packed again together; open bins of each.
-PARTITION_PIECES, FAN, OPEN_BINS = 16_384, 8, 256
+#: Pieces packed in one partition, about; rounds go on while they save this share of the bins they pack.
+PARTITION_PIECES, WORTH = 16_384, 0.0005
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -117,29 +120,35 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _packer(capacity: int, level: int):
+def _packer(capacity: int, level: int, last: bool):
     """Packs the rows of one partition; from the second level on, only if that saves bins."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
-        fresh = best_fit_decreasing(lengths, capacity)
+        bins = best_fit_decreasing(lengths, capacity)
         _, old = np.unique(pdf["bin"].to_numpy(np.int64), return_inverse=True)
-        bins = fresh if level == 0 or fresh.max() < old.max() else old
+        saved = int(old.max() - bins.max()) if level else 0
+        if level and saved <= 0:
+            bins, saved = old, 0
         room = capacity - np.bincount(bins, lengths).astype(np.int64)
-        # The emptiest bins go on: what they lack may make a bin less with those of other partitions.
-        order = np.argsort(-room, kind="stable")[:OPEN_BINS]
-        moving = np.zeros(len(room), bool)
-        moving[order[room[order] > 0]] = True
-        pdf["certified"] = len(room) == lower_bound(lengths, capacity)[0]
+        certified = len(room) == lower_bound(lengths, capacity)[0]
+        moving = (room > 0) & (not last)
+        if certified:
+            moving &= np.arange(len(room)) == room.argmax()
+        pdf["certified"] = certified
         pdf["open"] = moving[bins]
         pdf["bin"] = bins + pdf["part"].to_numpy(np.int64) * (1 << 32) + (level << 56)
+        pdf["saved"] = 0
+        pdf.loc[0, "saved"] = saved
+        pdf["bins"] = 0
+        pdf.loc[0, "bins"] = len(room)
         return pdf
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | None = None, partition_pieces: int = PARTITION_PIECES, worth: float = WORTH) -> DataFrame:
     """row, sequence_id, offset (gapless from 0 in each sequence), certified of stored ``pieces``.
 
     ``pieces`` needs row (a distinct long) and length (1 to capacity). Full pieces are
@@ -148,18 +157,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | Non
     """
     ws = workspace or Workspace(pieces.sparkSession, "pack")
     small = pieces.where(F.col("length") < capacity).select("row", "length")
-    parts = -(-small.count() // PARTITION_PIECES) or 1
-    schema = "row long, length long, part long, bin long, certified boolean, open boolean"
+    parts = max(1, -(-small.count() // partition_pieces))
+    schema = "row long, length long, part long, bin long, certified boolean, open boolean, saved long, bins long"
     todo = small.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"), F.lit(0).cast("long").alias("bin"))
     level, done = 0, []
     while True:
-        packed = ws.write(todo.groupBy("part").applyInPandas(_packer(capacity, level), schema), f"packed{level}")
-        if parts == 1:
+        packed = ws.write(todo.groupBy("part").applyInPandas(_packer(capacity, level, parts == 1), schema), f"packed{level}")
+        left, saved, bins = packed.agg(F.count_if("open"), F.coalesce(F.sum("saved"), F.lit(0)), F.coalesce(F.sum("bins"), F.lit(0))).first()
+        if not left or (level and saved < max(1, worth * bins)):
             done.append(packed)
             break
-        done.append(packed.where(~F.col("open")))
-        todo = packed.where("open").select("row", "length", F.floor(F.col("part") / FAN).alias("part"), "bin")
-        parts, level = -(-parts // FAN), level + 1
+        done.append(packed.where("not open"))
+        # Whole bins are dealt anew, so that a partition which saves none can keep them.
+        level, parts = level + 1, max(1, -(-left // partition_pieces))
+        todo = packed.where("open").select("row", "length", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(parts)).alias("part"), "bin")
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
@@ -169,7 +180,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, workspace: Workspace | Non
     return placed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Pieces of ``docs``: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
     A null or empty text is one piece of length 1. Rows that repeat an id are documents of
@@ -178,5 +189,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, i
     ws = Workspace(docs.sparkSession, "pack")
     cut_up = tokenize(docs, vocabulary, capacity, id_col, text_col, end_id).withColumnRenamed(id_col, "id")
     pieces = ws.write(cut_up.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    out = pieces.join(pack(pieces, capacity, ws), "row")
+    out = pieces.join(pack(pieces, capacity, ws, partition_pieces), "row")
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")

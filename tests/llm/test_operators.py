@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -14,7 +15,7 @@ from fathomlog.llm.embedding_dedup import embedding_dedup
 from fathomlog.llm.exact_dedup import exact_dedup, keep_unique
 from fathomlog.llm.line_dedup import line_dedup
 from fathomlog.llm.near_dedup import Sizes, near_dedup
-from fathomlog.llm.packing import pack_documents
+from fathomlog.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
 from fathomlog.llm.piece_codec import encode_decode
 from fathomlog.llm.substring_dedup import substring_dedup
 from fathomlog.llm.token_counts import count_tokens
@@ -43,6 +44,7 @@ def corpus(seed=5):
             w[r.randrange(len(w))] = word()
         docs.append(" ".join(w))
         docs.append(" ".join([docs[k][:200], passage, word()]))
+    docs += ["<|endoftext|>", "an end <|endoftext|> inside", "an end<|endoftext|>\n  inside"]
     docs += ["", "   ", "one", "one two three four five", " ".join(word() for _ in range(30_000))]
     order = list(range(100, 100 + len(docs)))
     r.shuffle(order)
@@ -117,17 +119,23 @@ def test_exact_with_a_weak_digest(spark, docs):
     assert keep_unique(table(spark, docs)).count() == len({t or "" for _, t in docs})
 
 
-def test_packing(spark, docs):
-    encode = encoder(BYTES)
-    pieces = pack_documents(table(spark, docs), BYTES, 256).collect()
+@pytest.mark.parametrize("partition", [16_384, 40])
+def test_packing(spark, docs, partition):
+    """Ids by the library itself; a valid packing; certified partitions cannot do better."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    pieces = pack_documents(table(spark, docs), BYTES, 256, partition_pieces=partition).collect()
     whole = {}
     for p in pieces:
         whole.setdefault(p.doc_id, []).append(p)
     assert whole.keys() == {i for i, _ in docs}
     for i, t in docs:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         ps = sorted(whole[i], key=lambda p: p.piece)
-        assert [p.piece for p in ps] == list(range(len(ps))) and sum(p.length for p in ps) == len(encode(t or "")) + 1
+        assert [p.piece for p in ps] == list(range(len(ps))) and sum(p.length for p in ps) == len(ids)
         assert all(p.length == 256 for p in ps[1:]) and [p.start for p in ps] == [sum(q.length for q in ps[:k]) for k in range(len(ps))]
+        assert [p.ids_crc32 for p in ps] == [zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in ps]
     by_sequence = {}
     for p in pieces:
         by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -137,7 +145,28 @@ def test_packing(spark, docs):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(by_sequence) <= -(-sum(p.length for p in pieces) // 256) + 3
+    least, _ = lower_bound(np.array([p.length for p in pieces]), 256)
+    assert len(by_sequence) <= least + (2 if partition > 1000 else 4)
+    if partition > 1000 and all(p.certified for p in pieces):
+        assert len(by_sequence) == least
+
+
+def test_partitions_with_gaps_exchange(spark):
+    """Triples that fill a bin together, dealt to small partitions that best-fit decreasing leaves gaps in."""
+    r = random.Random(5)
+    lengths = []
+    for _ in range(300):
+        a, b = r.randint(20, 45), r.randint(20, 45)
+        lengths += [a, b, 100 - a - b]
+    r.shuffle(lengths)
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "row long, length long").repartition(3)
+    found = pack(pieces, 100, partition_pieces=30, worth=0.0).collect()
+    fill = {}
+    for x in found:
+        fill.setdefault(x.sequence_id, []).append((x.offset, lengths[x.row]))
+    assert sorted(x.row for x in found) == list(range(900)) and all(sum(n for _, n in v) <= 100 for v in fill.values())
+    alone = sum(int(best_fit_decreasing(np.array(lengths[k::30]), 100).max()) + 1 for k in range(30))
+    assert 300 <= len(fill) < alone - 10
 
 
 def test_pieces(spark, docs):
