@@ -50,12 +50,16 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--dry-run", action="store_true", help="analyse only, and print warnings")
     args.add_argument("--obligations", action="store_true", help="print SMT-LIB texts of the constraints")
     args.add_argument("--trace", action="store_true")
+    args.add_argument("--warn-undefined", action="store_true", help="also warn of expressions that may have no value")
     given = args.parse_args(argv)
     spark = SparkSession.builder.appName("fathomlog").getOrCreate()
     folder = os.path.dirname(os.path.abspath(given.program)) if given.program else os.getcwd()
     session = Session(spark, folder, given.max_iterations, (lambda e: print(e, file=sys.stderr)) if given.trace else None)
     for pair in given.input:
         name, _, path = pair.partition("=")
+        if not path or name in session.bound:
+            print(f"error: --input {pair}: " + ("twice" if path else "NAME=PATH is needed"), file=sys.stderr)
+            return 1
         session.bind(name, path)
     show = FORMATS[given.format]
     if not given.program:
@@ -67,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         if given.explain:
             session.explain(source, given.explain)
             return 0
-        for line in session.advice(source):
+        for line in session.advice(source, given.warn_undefined):
             print(f"warning: {line}", file=sys.stderr)
         if given.obligations:
             print("\n".join(f"; {name}\n{text}" for name, text in session.obligations(source).items()))

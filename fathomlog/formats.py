@@ -59,6 +59,11 @@ def jsonl(df: DataFrame) -> str:
     return "\n".join(json.dumps(dict(zip(df.columns, r, strict=True)), ensure_ascii=False) for r in rows_of(df))
 
 
+def jsonl_flat(df: DataFrame) -> str:
+    """Rows as arrays, without names."""
+    return "\n".join(json.dumps(list(r), ensure_ascii=False) for r in rows_of(df))
+
+
 def mermaid(df: DataFrame) -> str:
     """Edges of two or three columns as a flowchart."""
     if len(df.columns) not in (2, 3):
@@ -78,4 +83,4 @@ def graph(df: DataFrame) -> str:
     return "\n".join(f"{a} -> {', '.join(b)}" for a, b in out.items())
 
 
-FORMATS = {"table": table, "csv": csv, "jsonl": jsonl, "mermaid": mermaid, "ascii-graph": graph}
+FORMATS = {"table": table, "csv": csv, "jsonl": jsonl, "jsonl-flat": jsonl_flat, "mermaid": mermaid, "ascii-graph": graph}

@@ -173,10 +173,19 @@ class Typer:
             raise ProgramError(f"an operand may be null: {t.type}; test it with <> null first")
         return t
 
+    def condition(self, e) -> Typed:
+        """An operand that is a truth value; at null it has none."""
+        t = self.of(e)
+        if t.type.base == "null":
+            return Typed(Type("boolean"), True, lambda c: F.lit(None).cast("boolean"))
+        if t.type.base != "boolean":
+            t = self.operand(e, "boolean")
+        return Typed(Type("boolean"), t.partial or t.type.nullable, t.make)
+
     # -- operators
     def _un(self, e: Un) -> Typed:
         if e.op == "!":
-            t = self.operand(e.arg, "boolean")
+            t = self.condition(e.arg)
             return Typed(t.type, t.partial, lambda c: ~t.make(c))
         t = self.operand(e.arg, "integer", "float")
         return Typed(t.type, t.partial, lambda c: -t.make(c))
@@ -184,7 +193,7 @@ class Typer:
     def _bin(self, e: Bin) -> Typed:
         op = e.op
         if op in ("&&", "||"):
-            a, b = self.operand(e.left, "boolean"), self.operand(e.right, "boolean")
+            a, b = self.condition(e.left), self.condition(e.right)
             return Typed(Type("boolean"), a.partial or b.partial, (lambda c: a.make(c) & b.make(c)) if op == "&&" else (lambda c: a.make(c) | b.make(c)))
         if op in ("=", "<>"):
             return self._equality(op, self.of(e.left), self.of(e.right))
@@ -268,7 +277,7 @@ class Typer:
         return Typed(Type("integer" if whole else "float"), True, make)
 
     def _cond(self, e: Cond) -> Typed:
-        test, a, b = self.operand(e.test, "boolean"), self.of(e.then), self.of(e.other)
+        test, a, b = self.condition(e.test), self.of(e.then), self.of(e.other)
         t = join(a.type, b.type)
         if t.nullable and t.base != "value":
             raise ProgramError("a branch of ? : may be null")
@@ -452,7 +461,7 @@ class Typer:
         return self._fn([self.operand(s, "string")], "integer", True, lambda a: _in_domain(F.when(a.rlike(ok), a.try_cast("long"))))
 
     def f_to_float(self, s):
-        ok = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+        ok = r"^((0|-?[1-9][0-9]*)(\.[0-9]+)?|-0\.[0-9]+)$"
         return self._fn([self.operand(s, "string")], "float", True, lambda a: _finite(F.when(a.rlike(ok), a.try_cast("double"))))
 
     def f_to_boolean(self, s):

@@ -152,9 +152,10 @@ class Session:
             return df.select(F.lit(True).alias(PROBE)).limit(1)
         return df.select(*(F.col(builder.bound[v]).alias(v) for v in names)).distinct()
 
-    def advice(self, source: str) -> list[str]:
-        """Warnings: recursion that may not end, unused inputs, checks that never run."""
-        return advise(self.compile(source))
+    def advice(self, source: str, warn_undefined: bool = False) -> list[str]:
+        """Warnings: recursion that may not end, unused inputs, checks that never run, rows lost to nulls."""
+        core = self.compile(source)
+        return advise(core, self._sig, warn_undefined)
 
     def obligations(self, source: str) -> dict[str, str]:
         """SMT-LIB texts whose ``unsat`` proves constraints for any data."""

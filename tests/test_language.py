@@ -48,6 +48,12 @@ PROGRAMS = {
     "a ground query": ("p(1). ?- p(1).", {(True,)}),
     "a failing ground query": ("p(1). ?- p(2).", set()),
     "an unsupplied input is empty": ("input predicate p(x: integer). ?- p(X).", set()),
+    "a condition that is null": ('b(1, true). b(2, null). b(3, false). ?- b(X, C), S = C ? "yes" : "no".', {(1, True, "yes"), (3, False, "no")}),
+    "connectives over nulls": ("b(1, true). b(2, null). b(3, false). ?- b(X, C), C || X = 2.", {(1, True), (2, None)}),
+    "strict floats": ('r("1e5"). r("-0"). r("-0.5"). r("2"). r("-3.25"). r("1."). f(S, to_float(S)) :- r(S). ?- f(S, F).', {("-0.5", -0.5), ("2", 2.0), ("-3.25", -3.25)}),
+    "refinements of computed positions": ("s(1, 0 as P, 1 as C, _: 0 <= P, _: P <= C). s(I + 1, C, P + C as N, _: 0 <= C, _: C <= N) :- s(I, P, C), I < 5. ?- s(I, _, C).", {(1, 1), (2, 1), (3, 2), (4, 3), (5, 5)}),
+    "refinements of swapped positions": ("p(1, 2). q(Y, X, _: X <= Y) :- p(X, Y). ?- q(A, B).", {(2, 1)}),
+    "own types inside, published ones outside": ("n(0: value). n(X + 1: value) :- n(X), X < 3. ?- n(X).", {(0,), (1,), (2,), (3,)}),
     "typed fields of a record": ('r({"age": 36}). next(P["age"] + 1) :- r(P). ?- next(X).', {(37,)}),
 }
 
@@ -92,6 +98,9 @@ BAD = {
     "mixed names": "p(1) :: A. p(2). ?- p(X).",
     "narrow annotation": 'p(X: integer) :- X = "a". ?- p(X).',
     "head names in a cycle": "q(1). p(A + 1 as B, B + 1 as A) :- q(_). ?- p(X, Y).",
+    "a published type hides the own one": "n(1: value). q(X + 1) :- n(X). ?- q(X).",
+    "a refinement of no position": "p(1). q(X + 1, _: X > 0) :- p(X). ?- q(Y).",
+    "a function in place of an atom": "p(1). ?- p(X), abs(X).",
     "recursive alias": "type A = [A]. p(1). ?- p(X).",
 }
 
@@ -133,6 +142,46 @@ def test_modules(spark):
         Session(spark, resolve=files.__getitem__).run('input predicate t(x: integer) := nothing from "two.dl". ?- t(X).')
 
 
+def test_module_boundaries(spark):
+    files = {
+        "m/top.dl": 'input predicate base(x: integer) := from "parts/one.dl". up(X + 1) :- base(X). ?- up(X).',
+        "m/parts/one.dl": "one(1). ?- one(X).",
+        "null.dl": "p(1). p(null). ?- p(X).",
+        "text.dl": 'p("a"). ?- p(X).',
+        "wide.dl": "p(1: value). ?- p(X).",
+        "need.dl": "input predicate r(x: integer). ?- r(X).",
+    }
+    run = lambda text: {tuple(r) for r in Session(spark, resolve=files.__getitem__).run(text)["default"].collect()}
+    assert run('input predicate t(x: integer) := from "m/top.dl". ?- t(X).') == {(2,)}
+    assert run('a(7). input predicate t(x: integer) := from "m/top.dl"(base = a). ?- t(X).') == {(8,)}
+    assert run('input predicate t(x: integer?) := from "null.dl". ?- t(X).') == {(1,), (None,)}
+    assert run('input predicate t(x: float) := from "m/top.dl". ?- t(X).') == {(2.0,)}
+    for text in ('input predicate t(x: integer) := from "null.dl"', 'input predicate t(x: integer) := from "text.dl"', 'input predicate t(x: integer, y: integer) := from "text.dl"', 'input predicate t(x: integer) := from "wide.dl"', 'a("x"). input predicate t(x: integer) := from "need.dl"(r = a)', 'a(null). input predicate t(x: integer) := from "need.dl"(r = a)'):
+        with pytest.raises(ProgramError):
+            run(f"{text}. ?- t({'X, Y' if 'y:' in text else 'X'}).")
+
+
+def test_advice(spark):
+    """Each kind of warning, and a program that has none."""
+
+    def codes(text, **options):
+        return sorted({line.split(":")[0] for line in Session(spark).advice(text, **options) if "-" in line.split(":")[0]})
+
+    data = "p(1, null). p(2, 3). b(1, null). b(2, true). "
+    assert codes(data + "?- b(X, C), C.") == ["nullable-filter"]
+    assert codes(data + "a(X) :- p(X, Y), Y < 3. c(X) :- p(X, Y), Y >= 3. ?- a(X), c(X).") == ["nullable-ordering-gap"]
+    assert codes(data + "?- p(X, Y), not Y < 3.") == ["nullable-negated-ordering"]
+    assert codes(data + "?- p(X, Y), not Y < 3, Y <> null.") == []
+    assert codes(data + "?- p(X, _), 10 / X <> 5.") == ["partial-inequality"]
+    assert codes(data + "?- p(X, _), defined(X).") == ["constant-defined"]
+    assert codes(data + "q(10 / X) :- p(X, _). ?- q(X).") == []
+    assert codes(data + "q(10 / X) :- p(X, _). ?- q(X).", warn_undefined=True) == ["undefined-expression"]
+    assert codes(data + "q^(X) :- p(X, _). ?- q^(X).") == ["inert-maximal"]
+    assert codes(data + "q(X, _: X > 0) :- p(X, _). q(X) :- b(X, _). ?- q(X).") == ["inert-contract"]
+    assert codes(data + "q(X, _: 0 <= 0) :- p(X, _). ?- q(X).") == ["constant-refinement"]
+    assert codes(data + "q(X) :- p(X, Y), Y > 2. ?- q(X).") == []
+
+
 def test_incremental(spark):
     s = Incremental(Session(spark))
     s.add("e(1, 2). e(2, 3).")
