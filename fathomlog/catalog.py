@@ -10,8 +10,10 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .session import Session
+from .storage import Store
 from .syntax import Input, parse
 
 #: Columns that make a table's rows distinct.
@@ -72,9 +74,9 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
         "SELECT DISTINCT c_custkey AS \"C\", o_totalprice AS \"T\" FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey",
     ),
     "null_join": (
-        CUSTOMER + ORDERS + NO_P + 'lj(C, N) :- customer(C, _, N, _, _), p_order(C).\nlj(C, null) :- customer(C, _, _, _, _), not p_order(C).\nm(N, count(*)) :- lj(A, N), lj(B, N), A < 20, B < 400.\n?- m(N, K).',
+        CUSTOMER + ORDERS + NO_P + 'lj(C, N) :- customer(C, _, N, _, _), p_order(C).\nlj(C, null) :- customer(C, _, _, _, _), not p_order(C).\nm(N, count(*)) :- lj(A, N), lj(B, N).\n?- m(N, K).',
         "default",
-        "WITH lj AS (SELECT c_custkey c, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN CAST(c_nationkey AS BIGINT) END n FROM customer) SELECT a.n AS \"N\", count(*) AS \"K\" FROM lj a JOIN lj b ON a.n IS NOT DISTINCT FROM b.n WHERE a.c < 20 AND b.c < 400 GROUP BY a.n",
+        "WITH lj AS (SELECT c_custkey c, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN CAST(c_nationkey AS BIGINT) END n FROM customer) SELECT n AS \"N\", count(*) * count(*) AS \"K\" FROM lj GROUP BY n",
     ),
     "union": (CUSTOMER + SUPPLIER + "place(N) :- customer(_, _, N, B, _), B < -900.0.\nplace(N) :- supplier(_, _, N, _).\n?- place(N).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N" FROM customer WHERE c_acctbal < -900 UNION SELECT s_nationkey FROM supplier'),
     "intersect": (CUSTOMER + SUPPLIER + "?- customer(_, _, N, _, _), supplier(_, _, N, _).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N" FROM customer INTERSECT SELECT s_nationkey FROM supplier'),
@@ -127,21 +129,21 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
         "default",
         'SELECT CAST(n_nationkey AS BIGINT) AS "A" FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) k FROM nation) WHERE k > 1',
     ),
-    "range_bind": (PART + 'step(P, I, I > S / 2 ? "upper" : "lower") :- part(P, _, _, _, S, _), P < 50, I in [1 .. S].\n?- step(P, I, H).', "default", "SELECT p_partkey AS \"P\", i AS \"I\", CASE WHEN i > p_size // 2 THEN 'upper' ELSE 'lower' END AS \"H\" FROM part, unnest(range(1, p_size + 1)) t(i) WHERE p_partkey < 50"),
+    "range_bind": (PART + 'step(P, I, I > S / 2 ? "upper" : "lower") :- part(P, _, _, _, S, _), I in [1 .. S].\n?- step(P, I, H).', "default", "SELECT p_partkey AS \"P\", i AS \"I\", CASE WHEN i > p_size // 2 THEN 'upper' ELSE 'lower' END AS \"H\" FROM part, unnest(range(1, p_size + 1)) t(i)"),
     "facts": ("colour(\"red\", 1). colour(\"green\", 2). colour(\"red\", 1).\n?- colour(C, N).", "default", "SELECT * FROM (VALUES ('red', CAST(1 AS BIGINT)), ('green', 2)) t(\"C\", \"N\")"),
     "ground_query": (NATION + '?- nation(_, "NATION_7", _).', "default", "SELECT true AS \"__probe\" WHERE EXISTS (SELECT 1 FROM nation WHERE n_name = 'NATION_7')"),
     "nullary": (NATION + 'any() :- nation(_, "NATION_7", _).\nnone() :- nation(_, "NOWHERE", _).\n?- nation(N, _, _), any(), not none().', "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation'),
     "constraint_ok": (CUSTOMER + ORDERS + "known(C) :- customer(C, _, _, _, _).\n!- orders(_, C, _, _, _, _), not known(C).\noutput predicate checked(count(*)) :- orders(_, _, _, _, _, _).", "checked", 'SELECT count(*) AS "count" FROM orders'),
     "refinement": (NATION + "key(N: integer, _: N >= 0) :- nation(N, _, _).\n?- key(N).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N" FROM nation'),
     "head_names": (CUSTOMER + "output predicate s(N, count(*) as K, K * 2) :- customer(_, _, N, _, _).", "s", 'SELECT CAST(c_nationkey AS BIGINT) AS "N", count(*) AS "count", 2 * count(*) AS "col3" FROM customer GROUP BY 1'),
-    "int_division": (ORDERS + "?- orders(O, _, _, _, _, _), O < 500, Q = O / 7, R = (0 - O) % 7, H = (0 - O) / 7.", "default", 'SELECT o_orderkey AS "O", o_orderkey // 7 AS "Q", -(o_orderkey % 7) AS "R", -(o_orderkey // 7) AS "H" FROM orders WHERE o_orderkey < 500'),
+    "int_division": (ORDERS + "?- orders(O, _, _, _, _, _), Q = O / 7, R = (0 - O) % 7, H = (0 - O) / 7.", "default", 'SELECT o_orderkey AS "O", o_orderkey // 7 AS "Q", -(o_orderkey % 7) AS "R", -(o_orderkey // 7) AS "H" FROM orders'),
     "float_arithmetic": (SUPPLIER + "?- supplier(S, _, _, B), R = round(B / 3.0, 2), H = round(B), F = floor(B), C = ceil(B).", "default", 'SELECT s_suppkey AS "S", s_acctbal AS "B", round(s_acctbal / 3.0, 2) AS "R", CAST(round(s_acctbal) AS BIGINT) AS "H", CAST(floor(s_acctbal) AS BIGINT) AS "F", CAST(ceil(s_acctbal) AS BIGINT) AS "C" FROM supplier'),
     "maths": (SUPPLIER + "?- supplier(S, _, _, B), Q = round(sqrt(B), 4), L = round(ln(B), 4), E = round(exp(B / 10000.0), 4), P = B ** 2.", "default", 'SELECT s_suppkey AS "S", s_acctbal AS "B", round(sqrt(s_acctbal), 4) AS "Q", round(ln(s_acctbal), 4) AS "L", round(exp(s_acctbal / 10000.0), 4) AS "E", pow(s_acctbal, 2) AS "P" FROM supplier WHERE s_acctbal > 0'),
-    "bitwise": (ORDERS + "?- orders(O, _, _, _, _, _), O < 500, A = O & 12, B = O | 3, X = O ^ 5, L = O << 2, R = O >> 1.", "default", 'SELECT o_orderkey AS "O", o_orderkey & 12 AS "A", o_orderkey | 3 AS "B", xor(o_orderkey, 5) AS "X", o_orderkey << 2 AS "L", o_orderkey >> 1 AS "R" FROM orders WHERE o_orderkey < 500'),
+    "bitwise": (ORDERS + "?- orders(O, _, _, _, _, _), A = O & 12, B = O | 3, X = O ^ 5, L = O << 2, R = O >> 1.", "default", 'SELECT o_orderkey AS "O", o_orderkey & 12 AS "A", o_orderkey | 3 AS "B", xor(o_orderkey, 5) AS "X", o_orderkey << 2 AS "L", o_orderkey >> 1 AS "R" FROM orders'),
     "overflow": ("n(9007199254740991). n(1).\n?- n(X), Y = X + 1.", "default", 'SELECT CAST(1 AS BIGINT) AS "X", CAST(2 AS BIGINT) AS "Y"'),
     "partial_div": (EVENTS + "k(E, as_integer(parse_json(P)[\"k\"])) :- events(E, _, _, _, _, P).\n?- k(E, K), Q = 100 / (K % 7).", "default", f'SELECT event_id AS "E", {K} AS "K", CAST(trunc(100.0 / ({K} % 7)) AS BIGINT) AS "Q" FROM events WHERE {K} % 7 <> 0'),
     "defined": (EVENTS + "k(E, as_integer(parse_json(P)[\"k\"])) :- events(E, _, _, _, _, P).\n?- k(E, K), not defined(100 / (K % 7)).", "default", f'SELECT event_id AS "E", {K} AS "K" FROM events WHERE {K} % 7 = 0'),
-    "strings": (CUSTOMER + '?- customer(C, N, _, _, S), C < 300, U = upper(S), L = lower(S), A = S[0], P = S[1:4], G = length(N), R = replace(N, "Customer", "C"), T = S + "/" + C.', "default", 'SELECT c_custkey AS "C", c_name AS "N", c_mktsegment AS "S", upper(c_mktsegment) AS "U", lower(c_mktsegment) AS "L", c_mktsegment[1] AS "A", c_mktsegment[2:4] AS "P", CAST(length(c_name) AS BIGINT) AS "G", replace(c_name, \'Customer\', \'C\') AS "R", c_mktsegment || \'/\' || c_custkey AS "T" FROM customer WHERE c_custkey < 300'),
+    "strings": (CUSTOMER + '?- customer(C, N, _, _, S), U = upper(S), L = lower(S), A = S[0], P = S[1:4], G = length(N), R = replace(N, "Customer", "C"), T = S + "/" + C.', "default", 'SELECT c_custkey AS "C", c_name AS "N", c_mktsegment AS "S", upper(c_mktsegment) AS "U", lower(c_mktsegment) AS "L", c_mktsegment[1] AS "A", c_mktsegment[2:4] AS "P", CAST(length(c_name) AS BIGINT) AS "G", replace(c_name, \'Customer\', \'C\') AS "R", c_mktsegment || \'/\' || c_custkey AS "T" FROM customer'),
     "conversions": (
         'raw("12"). raw("-3"). raw("007"). raw("1.50"). raw("x"). raw("true").\nas_int(S, to_integer(S)) :- raw(S).\nas_real(S, to_float(S)) :- raw(S).\noutput predicate all_of(S, I, F) :- as_int(S, I), as_real(S, F).',
         "all_of",
@@ -149,16 +151,12 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     ),
     "to_string": ("n(1.0). n(2.5). n(1000000.0).\n?- n(X), S = to_string(X).", "default", "SELECT * FROM (VALUES (1.0::DOUBLE, '1'), (2.5, '2.5'), (1000000.0, '1000000')) t(\"X\", \"S\")"),
     "json_object": (EVENTS + '?- events(E, _, _, _, _, P), K = as_integer(parse_json(P)["k"]).', "default", f'SELECT event_id AS "E", props AS "P", {K} AS "K" FROM events'),
-    "json_iter": (EVENTS + "?- events(E, _, _, _, _, P), E < 2000, object_entry(parse_json(P), Key, V), T = type_of(V).", "default", f"SELECT event_id AS \"E\", props AS \"P\", 'k' AS \"Key\", CAST({K} AS VARCHAR) AS \"V\", 'number' AS \"T\" FROM events WHERE event_id < 2000"),
+    "json_iter": (EVENTS + "?- events(E, _, _, _, _, P), object_entry(parse_json(P), Key, V), T = type_of(V).", "default", f"SELECT event_id AS \"E\", props AS \"P\", 'k' AS \"Key\", CAST({K} AS VARCHAR) AS \"V\", 'number' AS \"T\" FROM events"),
     "json_build": (NATION + 'row({"name": N, "key": K, "pair": [K, R]}) :- nation(K, N, R).\n?- row(V).', "default", "SELECT '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"pair\":[' || n_nationkey || ',' || n_regionkey || ']}' AS \"V\" FROM nation"),
     "json_array": (NATION + "keys_of(R, list(K)) :- nation(K, _, R).\n?- keys_of(R, L), array_element(L, I, E), N = length(L), H = L[0:2].", "default", "WITH g AS (SELECT CAST(n_regionkey AS BIGINT) r, n_nationkey k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 i, count(*) OVER (PARTITION BY n_regionkey) n FROM nation), l AS (SELECT r, '[' || string_agg(k, ',' ORDER BY k) || ']' l, '[' || string_agg(k, ',' ORDER BY k) FILTER (i < 2) || ']' h FROM g GROUP BY r) SELECT r AS \"R\", l AS \"L\", i AS \"I\", CAST(k AS VARCHAR) AS \"E\", n AS \"N\", h AS \"H\" FROM g JOIN l USING (r)"),
     "type_lift": (NATION + "v(N) :- nation(N, _, 0).\nv(M) :- nation(_, M, 1).\n?- v(X), T = type_of(X).", "default", "SELECT CAST(n_nationkey AS VARCHAR) AS \"X\", 'number' AS \"T\" FROM nation WHERE n_regionkey = 0 UNION SELECT '\"' || n_name || '\"', 'string' FROM nation WHERE n_regionkey = 1"),
-    "dates": (ORDERS + '?- orders(O, _, _, _, D, _), O < 200, Y = D[0:4].', "default", "SELECT o_orderkey AS \"O\", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS \"D\", strftime(o_orderdate, '%Y') AS \"Y\" FROM orders WHERE o_orderkey < 200"),
-    "proof_terms": (
-        TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z), X < 2.\n?- path(C, X, Y), C < 20.",
-        "default",
-        "WITH RECURSIVE e AS (SELECT DISTINCT a.conv_id c, a.turn x, b.turn y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), tc AS (SELECT c, x, y FROM e UNION SELECT tc.c, e.x, tc.y FROM tc JOIN e ON tc.c = e.c AND e.y = tc.x WHERE e.x < 2) SELECT c AS \"C\", x AS \"X\", y AS \"Y\" FROM tc WHERE c < 20",
-    ),
+    "dates": (ORDERS + '?- orders(O, _, _, _, D, _), Y = D[0:4].', "default", "SELECT o_orderkey AS \"O\", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS \"D\", strftime(o_orderdate, '%Y') AS \"Y\" FROM orders"),
+    "proof_terms": (TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z).\n?- path(C, X, Y).", "default", TURN_CLOSURE),
     "proof_match": ("num(0). num(1).\nlst(0) :: Nil.\nlst(n + 1) :: Cons :- num(Car), n < 2, lst(n).\nhead_of(C, N) :- P : lst(N), P = Cons(C, _).\n?- head_of(C, N).", "default", "SELECT * FROM (VALUES ('0', CAST(1 AS BIGINT)), ('1', 1), ('0', 2), ('1', 2)) t(\"C\", \"N\")"),
     "pricing_summary": (
         LINE + 'output predicate q1(F, S, round(sum(Q), 2), round(avg(P), 2), count(*)) :- lineitem(_, _, _, _, Q, P, _, F, S, D), D <= "1998-09-02T00:00:00.000Z".',
@@ -170,26 +168,103 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
         "revenue",
         'SELECT n_name AS "N", round(sum(l_extendedprice * (1 - l_discount)), 2) AS "col2" FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1',
     ),
-    # Whole tables for the operators whose queries above read the first ids only.
-    "null_join_all": (
-        CUSTOMER + ORDERS + NO_P + 'lj(C, N) :- customer(C, _, N, _, _), p_order(C).\nlj(C, null) :- customer(C, _, _, _, _), not p_order(C).\nm(N, count(*)) :- lj(A, N), lj(B, N).\n?- m(N, K).',
-        "default",
-        None,
-    ),
-    "range_bind_all": (PART + 'step(P, I, I > S / 2 ? "upper" : "lower") :- part(P, _, _, _, S, _), I in [1 .. S].\n?- step(P, I, H).', "default", "SELECT p_partkey AS \"P\", i AS \"I\", CASE WHEN i > p_size // 2 THEN 'upper' ELSE 'lower' END AS \"H\" FROM part, unnest(range(1, p_size + 1)) t(i)"),
-    "int_division_all": (ORDERS + "?- orders(O, _, _, _, _, _), Q = O / 7, R = (0 - O) % 7, H = (0 - O) / 7.", "default", 'SELECT o_orderkey AS "O", o_orderkey // 7 AS "Q", -(o_orderkey % 7) AS "R", -(o_orderkey // 7) AS "H" FROM orders'),
-    "bitwise_all": (ORDERS + "?- orders(O, _, _, _, _, _), A = O & 12, B = O | 3, X = O ^ 5, L = O << 2, R = O >> 1.", "default", 'SELECT o_orderkey AS "O", o_orderkey & 12 AS "A", o_orderkey | 3 AS "B", xor(o_orderkey, 5) AS "X", o_orderkey << 2 AS "L", o_orderkey >> 1 AS "R" FROM orders'),
-    "strings_all": (CUSTOMER + '?- customer(C, N, _, _, S), U = upper(S), L = lower(S), A = S[0], P = S[1:4], G = length(N), R = replace(N, "Customer", "C"), T = S + "/" + C.', "default", 'SELECT c_custkey AS "C", c_name AS "N", c_mktsegment AS "S", upper(c_mktsegment) AS "U", lower(c_mktsegment) AS "L", c_mktsegment[1] AS "A", c_mktsegment[2:4] AS "P", CAST(length(c_name) AS BIGINT) AS "G", replace(c_name, \'Customer\', \'C\') AS "R", c_mktsegment || \'/\' || c_custkey AS "T" FROM customer'),
-    "json_iter_all": (EVENTS + "?- events(E, _, _, _, _, P), object_entry(parse_json(P), Key, V), T = type_of(V).", "default", f"SELECT event_id AS \"E\", props AS \"P\", 'k' AS \"Key\", CAST({K} AS VARCHAR) AS \"V\", 'number' AS \"T\" FROM events"),
-    "dates_all": (ORDERS + '?- orders(O, _, _, _, D, _), Y = D[0:4].', "default", "SELECT o_orderkey AS \"O\", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS \"D\", strftime(o_orderdate, '%Y') AS \"Y\" FROM orders"),
-    "proof_terms_all": (TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z).\n?- path(C, X, Y).", "default", None),
+    # One query or more for each function and for what has no place above.
+    "count_expr": (ORDERS + "output predicate n(S, count(1000 / (O % 5)), count(*)) :- orders(O, _, S, _, _, _).", "n", 'SELECT o_orderstatus AS "S", count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS "count", count(*) AS "count_" FROM orders GROUP BY 1'),
+    "connectives": (ORDERS + '?- orders(O, C, S, T, _, _), T > 200000.0 && S = "F" || !(C > 10) && S <> "O".', "default", "SELECT o_orderkey AS \"O\", o_custkey AS \"C\", o_orderstatus AS \"S\", o_totalprice AS \"T\" FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' OR NOT (o_custkey > 10) AND o_orderstatus <> 'O'"),
+    "guarded_or": (ORDERS + "?- orders(O, _, _, _, _, _), (O % 3 = 0) || (100 / (O % 3) = 50).", "default", 'SELECT o_orderkey AS "O" FROM orders WHERE o_orderkey % 3 <> 1'),
+    "unary_minus": (SUPPLIER + "?- supplier(S, _, N, B), M = -N, F = -B.", "default", 'SELECT s_suppkey AS "S", CAST(s_nationkey AS BIGINT) AS "N", s_acctbal AS "B", -CAST(s_nationkey AS BIGINT) AS "M", -s_acctbal AS "F" FROM supplier'),
+    "abs_of": (SUPPLIER + "?- supplier(S, _, _, B), A = abs(B), I = abs(3 - S).", "default", 'SELECT s_suppkey AS "S", s_acctbal AS "B", abs(s_acctbal) AS "A", abs(3 - s_suppkey) AS "I" FROM supplier'),
+    "trim_of": (CUSTOMER + '?- customer(C, N, _, _, _), T = trim("  " + N + " "), I = "<" + trim("\\t" + N) + ">".', "default", "SELECT c_custkey AS \"C\", c_name AS \"N\", c_name AS \"T\", '<' || chr(9) || c_name || '>' AS \"I\" FROM customer"),
+    "precedence": (ORDERS + "?- orders(O, _, _, _, _, _), X = 2 + O * 3 - 4 / 2, Y = O & 6 | 1, Z = 10 - O - 1.", "default", 'SELECT o_orderkey AS "O", o_orderkey * 3 AS "X", (o_orderkey & 6) | 1 AS "Y", 9 - o_orderkey AS "Z" FROM orders'),
+    "binary_literal": (PART + "?- part(P, _, _, _, _, _), M = P & 0b1011.", "default", 'SELECT p_partkey AS "P", p_partkey & 11 AS "M" FROM part'),
+    "round_digits": (PART + "?- part(P, _, _, _, _, R), A = round(R, 1), B = round(P, -2), F = floor(R / 7.0), C = ceil(R / 7.0).", "default", 'SELECT p_partkey AS "P", p_retailprice AS "R", round(p_retailprice, 1) AS "A", CAST(floor(p_partkey / 100.0 + 0.5) * 100 AS BIGINT) AS "B", CAST(floor(p_retailprice / 7.0) AS BIGINT) AS "F", CAST(ceil(p_retailprice / 7.0) AS BIGINT) AS "C" FROM part'),
+    "json_keys": (EVENTS + '?- events(E, _, _, _, _, P), V = parse_json(P), H = has_key(V, "k"), M = has_key(V, "m"), K = keys(V), W = values(V), J = to_json(V), N = length(V).', "default", f"""SELECT event_id AS "E", props AS "P", '{{"k":' || {K} || '}}' AS "V", true AS "H", false AS "M", '["k"]' AS "K", '[' || {K} || ']' AS "W", '{{"k":' || {K} || '}}' AS "J", CAST(1 AS BIGINT) AS "N" FROM events"""),
+    "json_missing": (EVENTS + '?- events(E, _, _, _, _, P), V = parse_json(P), not defined(V["none"]), not defined(V[0]), not defined(as_string(V["k"])).', "default", f"""SELECT event_id AS "E", props AS "P", '{{"k":' || {K} || '}}' AS "V" FROM events"""),
+    "extractions": (CUSTOMER + 'rec(C, {"n": N, "b": B > 0.0, "f": B, "c": C}) :- customer(C, N, _, B, _).\n?- rec(C, V), S = as_string(V["n"]), T = as_boolean(V["b"]), F = as_float(V["f"]), I = as_integer(V["c"]).', "default", None),
+    "implicit_extraction": (NATION + 'rec({"key": K, "name": N}) :- nation(K, N, _).\nnext(P["key"] + 1, P["name"] + "!") :- rec(P).\n?- next(K, N).', "default", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS \"K\", n_name || '!' AS \"N\" FROM nation"),
+    "literal_keys": (NATION + '?- nation(K, _, _), V = {"bb": K, "a": 1, "bb": 2}.', "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"K\", '{\"a\":1,\"bb\":2}' AS \"V\" FROM nation"),
+    "value_of_conditional": (NATION + '?- nation(K, _, R), V = K > 3 ? [K] : R.', "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"K\", CAST(n_regionkey AS BIGINT) AS \"R\", CASE WHEN n_nationkey > 3 THEN '[' || n_nationkey || ']' ELSE CAST(n_regionkey AS VARCHAR) END AS \"V\" FROM nation"),
+    "cond_null": (CUSTOMER + 'rich(C, B > 0.0) :- customer(C, _, N, B, _), N > 4.\nrich(C, null) :- customer(C, _, N, _, _), N <= 4.\n?- rich(C, T), W = T ? "rich" : "poor".', "default", "SELECT c_custkey AS \"C\", c_acctbal > 0 AS \"T\", CASE WHEN c_acctbal > 0 THEN 'rich' ELSE 'poor' END AS \"W\" FROM customer WHERE c_nationkey > 4"),
+    "refinement_computed": (PART + "sized(P, S * 2 as D, S + 1 as N, _: N <= D, _: 0 <= P) :- part(P, _, _, _, S, _), S > 0.\n?- sized(P, D, N).", "default", 'SELECT p_partkey AS "P", CAST(p_size * 2 AS BIGINT) AS "D", CAST(p_size + 1 AS BIGINT) AS "N" FROM part WHERE p_size > 0'),
+    "to_float_strict": (SUPPLIER + 'raw(S, S + ".50") :- supplier(S, _, _, _).\nraw(S, S + "e3") :- supplier(S, _, _, _).\nraw(S, "-0.5" + S) :- supplier(S, _, _, _).\nraw(S, "0" + S) :- supplier(S, _, _, _).\nf(T, to_float(T)) :- raw(_, T).\n?- f(T, F).', "default", "SELECT s_suppkey || '.50' AS \"T\", s_suppkey + 0.5::DOUBLE AS \"F\" FROM supplier UNION SELECT '-0.5' || s_suppkey, CAST('-0.5' || s_suppkey AS DOUBLE) FROM supplier"),
+    "conversions_of": (ORDERS + 'i(O, to_integer("" + O)) :- orders(O, _, _, _, _, _).\nb(S, to_boolean(S = "F" ? "true" : S)) :- orders(_, _, S, _, _, _).\n?- orders(O, _, S, _, _, _), i(O, I), b(S, B), T = to_string(O), U = to_string(S = "F").', "default", "SELECT o_orderkey AS \"O\", o_orderstatus AS \"S\", o_orderkey AS \"I\", true AS \"B\", CAST(o_orderkey AS VARCHAR) AS \"T\", 'true' AS \"U\" FROM orders WHERE o_orderstatus = 'F'"),
+    "overflow_of": (ORDERS + "?- orders(O, _, _, _, _, _), X = 9007199254740000 + O.", "default", 'SELECT o_orderkey AS "O", 9007199254740000 + o_orderkey AS "X" FROM orders WHERE o_orderkey <= 991'),
+    "facts_joined": (ORDERS + 'name("F", "filled"). name("O", "open").\n?- orders(O, _, S, _, _, _), name(S, N).', "default", "SELECT o_orderkey AS \"O\", o_orderstatus AS \"S\", CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END AS \"N\" FROM orders WHERE o_orderstatus IN ('F', 'O')"),
+    "recursive_sum": (TURNS + TURN_EDGES + "run(C, 0, 1) :- conversations(C, 0, _).\nrun(C, Y, S + Y) :- run(C, X, S), e(C, X, Y).\n?- run(C, T, S).", "default", 'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, CAST(turn AS BIGINT) t, CAST(1 AS BIGINT) s FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn, r.s + v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT c AS "C", t AS "T", s AS "S" FROM r'),
+    "proof_patterns": (NATION + 'at(N) :: Home(R) :- nation(N, _, R), R < 2.\nat(N) :: Away :- nation(N, _, R), R >= 2.\n?- P : at(N), P = Home(R).', "default", None),
+    "proof_anti_join": (TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z).\n?- conversations(C, T, _), not path(C, 0, T).", "default", 'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, turn t FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT DISTINCT conv_id AS "C", turn AS "T" FROM conversations v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = v.conv_id AND r.t = v.turn AND r.t > 0)'),
+    "aliases": ('type Key = integer.\ntype Row = {key: Key, name: string}.\ninput predicate nation(n_nationkey: Key, n_name: string, n_regionkey: integer).\nrow({"key": K, "name": N}: Row) :- nation(K, N, _).\n?- row(R), K = R["key"] + 0.', "default", "SELECT '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS \"R\", CAST(n_nationkey AS BIGINT) AS \"K\" FROM nation"),
+    "annotations": (NATION + "k(N: float) :- nation(N, _, _).\nk(R: integer?) :- nation(_, _, R).\n?- k(X).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "X" FROM nation UNION SELECT n_regionkey FROM nation'),
+    "range_safe_order": (PART + "?- part(P, _, _, _, S, _), I in [S .. S + 1], J = I * 2, J in [10 .. 14].", "default", 'SELECT p_partkey AS "P", CAST(p_size AS BIGINT) AS "S", CAST(i AS BIGINT) AS "I", CAST(2 * i AS BIGINT) AS "J" FROM part, unnest([p_size, p_size + 1]) t(i) WHERE 2 * i BETWEEN 10 AND 14'),
+    "negated_null": (CUSTOMER + ORDERS + NO_P + 'lj(C, N) :- customer(C, _, N, _, _), p_order(C).\nlj(C, null) :- customer(C, _, _, _, _), not p_order(C).\nknown(C, N + 1) :- lj(C, N), not N = null.\n?- known(C, M).', "default", "SELECT c_custkey AS \"C\", CAST(c_nationkey + 1 AS BIGINT) AS \"M\" FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
+    "interval_join": (ORDERS + 'p(O, T) :- orders(O, _, "P", T, _, _).\nband(A, A * 10000.0, A * 10000.0 + 9999.99) :- A in [0 .. 60].\nn(A, count(*)) :- band(A, L, H), p(_, T), L <= T, T <= H.\n?- n(A, N).', "default", "SELECT CAST(a AS BIGINT) AS \"A\", count(*) AS \"N\" FROM range(0, 61) t(a) JOIN (SELECT DISTINCT o_orderkey, o_totalprice p FROM orders WHERE o_orderstatus = 'P') ON p BETWEEN a * 10000.0 AND a * 10000.0 + 9999.99 GROUP BY 1"),
     "documents_by_language": (DOCS + "output predicate sizes(L, count(*), sum(N), max(N)) :- documents(_, L, _, N).", "sizes", 'SELECT lang AS "L", count(*) AS "count", CAST(sum(n_chars) AS BIGINT) AS "sum", max(n_chars) AS "max" FROM documents GROUP BY 1'),
 }
 
 
+#: Files of the module query: a closure over any edges, and a module that wires it.
+MODULES = {
+    "reach.dl": "input predicate edge(c: integer, a: integer, b: integer).\ntc(C, X, Y) :- edge(C, X, Y).\ntc(C, X, Z) :- tc(C, X, Y), edge(C, Y, Z).\n?- tc(C, X, Y).",
+}
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitive closure by a module whose input is wired to this program's edges."""
+    program = TURNS + TURN_EDGES + 'input predicate t(c: integer, x: integer, y: integer) := from "reach.dl"(edge = e).\n?- t(C, X, Y).'
+    session = Session(spark, resolve=MODULES.__getitem__)
+    session.bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return session.run(program)["default"]
+
+
+def _through(fmt: str, program: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's declared columns written to a file of a format, and read again by the program."""
+    columns = next(s for s in parse(program).statements if isinstance(s, Input) and s.name == name).columns
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(c.name for c in columns))
+    path = f"{Store(spark).root}/{name}.{fmt}"
+    if fmt == "csv":
+        table.write.csv(path, header=True, escape='"')
+    else:
+        table.write.json(path, ignoreNullFields=False)
+    return Session(spark).bind(name, path, fmt).run(program)["default"]
+
+
+#: name -> (format, program, table, SQL)
+SOURCES: dict[str, tuple[str, str, str, str]] = {
+    "csv_source": ("csv", CUSTOMER + "?- customer(C, N, K, B, S).", "customer", 'SELECT c_custkey AS "C", c_name AS "N", CAST(c_nationkey AS BIGINT) AS "K", c_acctbal AS "B", c_mktsegment AS "S" FROM customer'),
+    "jsonl_source": ("jsonl", SUPPLIER + "?- supplier(S, N, K, B).", "supplier", 'SELECT s_suppkey AS "S", s_name AS "N", CAST(s_nationkey AS BIGINT) AS "K", s_acctbal AS "B" FROM supplier'),
+    "csv_text": ("csv", "input predicate documents(doc_id: integer, text: string, lang: string).\nn(L, count(*), sum(length(T))) :- documents(_, T, L).\n?- n(L, C, S).", "documents", 'SELECT lang AS "L", count(*) AS "C", CAST(sum(length(coalesce(text, \'\'))) AS BIGINT) AS "S" FROM documents GROUP BY 1'),
+}
+
+
+JSON_SQL = 'SELECT CAST(n_nationkey AS BIGINT) AS "K", n_name AS "N" FROM nation'
+MERMAID_SQL = "SELECT 'r' || n_regionkey AS \"R\", 'n' || n_nationkey AS \"N\", n_name AS \"L\" FROM nation"
+
+
+def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as one JSON document, iterated."""
+    path = f"{Store(spark).root}/nation.json"
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")))).coalesce(1).write.text(path)
+    program = "input predicate nation(doc: value).\n?- nation(D), array_element(D, _, E), K = as_integer(E[\"n_nationkey\"]), N = as_string(E[\"n_name\"])."
+    return Session(spark).bind("nation", path, "json").run(program)["default"].select("K", "N").distinct()
+
+
+def mermaid_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as a diagram: an edge from each one's region, with its name."""
+    path = f"{Store(spark).root}/nation.mmd"
+    line = F.concat(F.lit("  r"), "n_regionkey", F.lit(" -->|"), "n_name", F.lit("| n"), "n_nationkey")
+    edges = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("value"))
+    edges.select(F.concat(F.lit("graph TD\n"), "value")).coalesce(1).write.text(path)
+    return Session(spark).bind("nation", path, "mmd").run("input predicate nation(a: string, b: string, l: string).\n?- nation(R, N, L).")["default"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, program, label) for name, (program, label, _) in PROGRAMS.items()}
+    found = {name: partial(run, program, label) for name, (program, label, _) in PROGRAMS.items()}
+    found |= {name: partial(_through, fmt, program, table) for name, (fmt, program, table, _) in SOURCES.items()}
+    return found | {"modules": modules, "json_source": json_source, "mermaid_source": mermaid_source}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in PROGRAMS.items() if sql is not None}
+    found = {name: sql for name, (_, _, sql) in PROGRAMS.items() if sql is not None}
+    found |= {name: sql for name, (_, _, _, sql) in SOURCES.items()}
+    return found | {"modules": TURN_CLOSURE, "json_source": JSON_SQL, "mermaid_source": MERMAID_SQL}

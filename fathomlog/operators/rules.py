@@ -152,6 +152,14 @@ class Body:
         self.df = self._start().withColumn(name, col)
         self.bound[var] = name
         self.types[var] = t
+        self._narrow(var)
+
+    def _narrow(self, var: str) -> None:
+        """A variable that some element of the body keeps from being null is not null from here on."""
+        t, known = self.types[var], self.env.get(var)
+        if t.nullable and t.base not in ("value", "null") and known is not None and not known.nullable:
+            self.df = self.df.where(F.col(self.bound[var]).isNotNull())
+            self.types[var] = Type(t.base, False, t.shape)
 
     def _eq(self, e: Eq) -> bool:
         if self._ready(e.left, e.right):
@@ -271,6 +279,7 @@ class Body:
         for v, n in fresh.items():
             self.bound[v] = n
             self.types[v] = types[int(n.removeprefix(tag))]
+            self._narrow(v)
         # Types narrow where a variable meets a narrower column.
         for a in mine:
             if a in self.bound and a not in fresh:

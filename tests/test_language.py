@@ -48,6 +48,8 @@ PROGRAMS = {
     "a ground query": ("p(1). ?- p(1).", {(True,)}),
     "a failing ground query": ("p(1). ?- p(2).", set()),
     "an unsupplied input is empty": ("input predicate p(x: integer). ?- p(X).", set()),
+    "narrowed by a test anywhere in the body": ("p(1, null). p(2, 3). ?- p(X, Y), Z = Y + 1, Y <> null.", {(2, 3, 4)}),
+    "narrowed by a negated equality": ("p(1, null). p(2, 3). q(X, Y + 1) :- p(X, Y), not Y = null. ?- q(X, Y).", {(2, 4)}),
     "a condition that is null": ('b(1, true). b(2, null). b(3, false). ?- b(X, C), S = C ? "yes" : "no".', {(1, True, "yes"), (3, False, "no")}),
     "connectives over nulls": ("b(1, true). b(2, null). b(3, false). ?- b(X, C), C || X = 2.", {(1, True), (2, None)}),
     "strict floats": ('r("1e5"). r("-0"). r("-0.5"). r("2"). r("-3.25"). r("1."). f(S, to_float(S)) :- r(S). ?- f(S, F).', {("-0.5", -0.5), ("2", 2.0), ("-3.25", -3.25)}),
