@@ -211,14 +211,42 @@ def test_lines_of_many_partners(spark):
     assert found[50] == (2, 0, 0, None) and all(found[51 + k] == (2, 1, 1, f"document {51 + k} has a start") for k in range(19))
 
 
-def test_embeddings(spark):
+def test_ragged_embeddings(spark, tmp_path):
+    """Files of different vector lengths: one length counts for the table, whatever a batch holds."""
+    spark.createDataFrame([(k, [1.0, k / 100, 0.0]) for k in range(20)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/v/a")
+    spark.createDataFrame([(100 + k, [1.0] * 4) for k in range(11)], "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/v/b")
+    got = by_id(embedding_dedup(spark.read.parquet(f"{tmp_path}/v/a", f"{tmp_path}/v/b")))
+    assert all(got[100 + k] == (0, 100 + k, True) for k in range(11)) and all(got[k] == (19, 0, k == 0) for k in range(20))
+
+
+def test_embeddings_that_repeat(spark):
+    """Ties at the threshold, repeated rows and ids, rows without an id, huge and tiny components."""
+    at = [0.9, (1 - 0.81) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.5]), (3, at), (4, [1e300, 0.0]), (5, [0.0, 1e-300]), (None, [1.0, 0.0]), (1, [0.0, 1.0]), (6, [-1.0, 0.0])]
+    ids = [i for i, _ in rows if i is not None]
+    unit = np.array([np.array(v) / max(map(abs, v)) if max(map(abs, v)) > 1e100 or max(map(abs, v)) < 1e-100 else v for i, v in rows if i is not None])
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    hit = unit @ unit.T >= 0.9
+    links = hit.sum(axis=1) - 1
+    label = brute.components(range(len(ids)), zip(*np.nonzero(hit), strict=True))
+    smallest = {c: min(i for i, k in zip(ids, label, strict=True) if label[k] == c) for c in set(label.values())}
+    found = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = sorted((i, int(n)) for (i, _), n in zip([r for r in rows if r[0] is not None], links, strict=True))
+    assert sorted((x.vec_id, x.n_links) for x in found if x.vec_id is not None) == want
+    want = {i: smallest[label[k]] for k, i in enumerate(ids)}
+    assert {x.vec_id: x.component_id for x in found if x.vec_id is not None} == want
+    assert [(x.n_links, x.component_id, x.kept) for x in found if x.vec_id is None] == [(0, None, True)]
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 1000])
+def test_embeddings(spark, block_bytes):
     r = np.random.default_rng(4)
     base = r.normal(size=(60, 6))
     x = np.concatenate([base, base[:20] + r.normal(size=(20, 6)) * 0.1, base[:5], base[5:8] * 3])
     rows = [(int(i), v.astype(float).tolist()) for i, v in enumerate(x)]
     odd = [(900, None), (901, []), (902, [0.0] * 6), (903, [float("nan")] * 6), (904, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (905, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows + odd], "vec_id long, embedding array<double>, id string, unit int")
-    got = by_id(embedding_dedup(df))
+    got = by_id(embedding_dedup(df, block_bytes=block_bytes))
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hit = unit @ unit.T >= 0.9
     np.fill_diagonal(hit, False)
@@ -281,7 +309,7 @@ def test_empty_table(spark, name):
     assert EMPTY[name](table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in EMPTY if n != "embeddings"])
+@pytest.mark.parametrize("name", EMPTY)
 def test_repeated_rows_and_missing_ids(spark, name):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other text"), (None, "a b c d e f"), (None, None), (2, "a b c d e f")]
     found = EMPTY[name](table(spark, rows))

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from fathomlog.llm.byte_tokens import encoder
 from fathomlog.llm.components import forest
-from fathomlog.llm.embedding_dedup import join_boxes, join_intervals
+from fathomlog.llm.embedding_dedup import join_blocks, join_boxes
 from fathomlog.llm.line_dedup import patience
 from fathomlog.llm.packing import best_fit_decreasing, cut, lower_bound
 from fathomlog.llm.piece_codec import PieceCodec
@@ -125,11 +125,11 @@ def test_interval_join():
     x = x[np.argsort(x[:, 0])]
     hit = x @ x.T >= 0.9
     np.fill_diagonal(hit, False)
-    n, _, a, b = join_intervals(x, None, np.ones(500, int), None, 0.9)
+    n, _, a, b = join_blocks(x, None, np.ones(500, int), None, 0.9)
     assert (n == hit.sum(1)).all()
     want = brute.components(range(500), zip(*np.nonzero(hit), strict=True))
     assert brute.components(range(500), zip(a.tolist(), b.tolist(), strict=True)) == want
-    n1, n2, _, _ = join_intervals(x[:260], x[260:], np.ones(260, int), np.ones(240, int), 0.9)
+    n1, n2, _, _ = join_blocks(x[:260], x[260:], np.ones(260, int), np.ones(240, int), 0.9)
     assert (n1 == hit[:260, 260:].sum(1)).all() and (n2 == hit[:260, 260:].sum(0)).all()
     boxes = np.sort(r.uniform(0, 10, (40, 1)), axis=0)
     assert set(join_boxes(boxes, boxes + 0.1, 1.0)) == {(i, j) for i in range(40) for j in range(i, 40) if boxes[j] - boxes[i] - 0.1 <= 1.0}
