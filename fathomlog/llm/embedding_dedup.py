@@ -268,8 +268,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     smallest id reachable by links; kept says that it is the row's own. Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing, and so do
     those of another length than most usable ones (the shorter of equally frequent lengths
-    counts). Rows that repeat an id are counted each; they share one component if their
-    vectors are equal. Rows without an id link with nothing. Other columns are ignored; no
+    counts). Rows that repeat an id are counted each, and each has the component of
+    its own vector. Rows without an id link with nothing. Other columns are ignored; no
     rows give none.
     """
     spark = vectors.sparkSession
@@ -284,9 +284,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         return _told(out, vectors.schema[id_col].dataType, id_col)
     size = most[0]
     units = ws.write(usable.where(F.size("v") == size).mapInArrow(_units(size), "id long, unit binary"), "units")
-    # Equal vectors are one member with a weight.
+    # Equal vectors are one member with a weight, under a number of its own.
     classes = units.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = ws.write(classes.select(F.col("rep").alias("id"), "copies", "unit"), "members")
+    members = ws.write(classes.withColumn("id", F.monotonically_increasing_id()), "members")
     sums = {r[0]: r[1] for r in members.select("unit").mapInArrow(_moments, "at long, v double").groupBy("at").agg(F.sum("v")).collect()}
     m = np.array([sums[k] for k in range((size + 1) ** 2)]).reshape(size + 1, size + 1)
     rows, mean = int(m[0, 0]), m[0, 1:] / m[0, 0]
@@ -323,8 +323,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     ws.drop("chunks")
     counts = found.where("not edge").groupBy("x").agg(F.sum("y").alias("links"))
     comp = components(found.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b")), ws, "comp")
-    label = classes.join(counts.withColumnRenamed("x", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    label = label.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    label = members.join(counts.withColumnRenamed("x", "id"), "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = label.groupBy("component").agg(F.min("rep").alias("component_id"))
+    label = label.join(smallest, "component").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = units.join(label, "unit").select("id", "n_links", "component_id")
     rest = source.where(F.col("id").isNull()).select("id").unionByName(source.where("id is not null").select("id").exceptAll(linked.select("id")))
     out = linked.unionByName(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
