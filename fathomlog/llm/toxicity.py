@@ -4,9 +4,12 @@ The kernel of two strings sums over their common subsequences of ``ORDER`` chara
 gap or inserted character costing a factor ``DECAY``; so "i-d.i_o t" still resembles "idiot".
 Strings are words between start and end marks, pieces of very long words, and runs of single
 characters joined. Landmarks are strings that stand out in toxic training documents, and some
-common ones. A document has for each landmark the largest kernel value of its words, and a
-damped sum of those at least half; both, turned by the Nyström map of the landmarks, go into
-a linear support vector machine whose margin becomes a probability.
+common ones. The value of a word at a landmark is its kernel over the landmark's with itself,
+at most 1, as far as it exceeds ``LEAST``: all words resemble all others a little, and a long
+text holds many. A document has for each landmark the largest value of its words, and a damped
+sum of those at least half; both, turned by the Nyström map of the landmarks, go into a linear
+support vector machine whose margin becomes a probability. Pairs of words and landmarks are
+spared the kernel only where an upper bound of it proves that the value is none.
 
 Training reads a bounded sample of labelled documents; scoring is one pass without a shuffle.
 """
@@ -29,9 +32,10 @@ from .workspace import Workspace
 ORDER, DECAY = 4, 0.6
 #: Labelled documents of each class that training reads at most, by the hash of their ids.
 SAMPLE = {1: 1500, 0: 3000}
-#: Landmarks from toxic and from clean documents; lengths of candidates; longest string.
+#: Landmarks from toxic and from clean documents; lengths of pieces of words that may be one,
+#: and of words; longest string.
 TOXIC, CLEAN, GRAM, WORD, PIECE = 40, 8, 6, 12, 24
-#: A landmark value below this counts as none; landmarks more alike than this are one.
+#: What a landmark value must exceed to count; landmarks more alike than this are one.
 LEAST, ALIKE = 0.2, 0.7
 #: Candidates for landmarks, and landmarks that each toxic training document should hold.
 CANDIDATES, COVER = 3000, 3
@@ -92,17 +96,22 @@ def alike(a: str, b: str) -> float:
     return _pair(a, b) / own**0.5 if own else 0.0
 
 
-def common(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row of ``s`` and of ``t``, by bits of t."""
-    one, full = np.uint64(1), np.uint64((1 << t.shape[1]) - 1)
-    bit = one << np.arange(t.shape[1], dtype=np.uint64)
-    t = np.where(t == 0, np.uint32(0xFFFFFFFF), t)
-    v = np.full(len(s), full, np.uint64)
-    for x in range(s.shape[1]):
-        u = v & ((s[:, x][:, None] == t) @ bit)
-        v = ((v + u) | (v - u)) & full
-    zeros = ~v & full
-    return ((zeros[:, None] & bit) != 0).sum(axis=1)
+def bound(times: np.ndarray) -> np.ndarray:
+    """An upper bound of the kernel, from how often a string has each character of a landmark, in order.
+
+    Each occurrence of a subsequence in the landmark meets at most the product of these numbers
+    of occurrences in the string, each of them over ``ORDER`` characters at least.
+    """
+    d = np.float32(DECAY)
+    open_ = np.zeros((ORDER, len(times)), np.float32)
+    total = np.zeros(len(times), np.float32)
+    for j in range(times.shape[1]):
+        w = times[:, j]
+        total += open_[ORDER - 1] * w * d
+        open_[1:] = open_[1:] * d + open_[:-1] * (w * d)
+        open_[1] += w * d
+        open_[0] = 0
+    return total * d**ORDER * np.float32(1.0001)
 
 
 @dataclass
@@ -116,44 +125,32 @@ class Model:
     slope: float
     shift: float
 
-    def needed(self, mark: str) -> int:
-        """Characters, in order, that a word must share with a landmark to have a value."""
-        return max(ORDER, len(mark) - (1 if len(mark) <= 7 else 2))
-
-    def _tables(self):
-        """For a first sieve: characters of all landmarks, and how often each landmark has them."""
-        chars = sorted({c for m in self.landmarks for c in m})
-        times = np.array([[m.count(c) for m in self.landmarks] for c in chars], np.float32).reshape(len(chars), len(self.landmarks))
-        once, twice = np.minimum(times, 1), np.clip(times - 1, 0, 1)
-        spare = (times - once - twice).sum(axis=0)
-        return [ord(c) for c in chars], np.concatenate([once, twice]), spare, np.array([self.needed(m) for m in self.landmarks])
-
     def values(self, words: list[str]) -> np.ndarray:
-        """Kernel values over the landmark's own, words by landmarks."""
+        """What kernel values over the landmark's own exceed ``LEAST`` by, words by landmarks."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         if not words or not self.landmarks:
             return out
-        chars, times, spare, needed = self._tables()
         marks = codes(self.landmarks)
+        chars = np.unique(marks[marks > 0])
+        at = np.searchsorted(chars, marks) + (marks > 0)  # 0 behind the ends
+        times = np.stack([(marks == c).sum(axis=1) for c in chars]).astype(np.float32)
+        least = (LEAST * self.own).astype(np.float32)
         order = np.argsort([len(w) for w in words], kind="stable")
-        for at in range(0, len(words), 4096):
-            part = order[at : at + 4096]
+        for first in range(0, len(words), 4096):
+            part = order[first : first + 4096]
             s = codes([words[k] for k in part])
-            held = np.empty((len(s), 2 * len(chars)), np.float32)
-            for k, c in enumerate(chars):
-                n = (s == c).sum(axis=1)
-                held[:, k] = n >= 1
-                held[:, len(chars) + k] = n >= 2
-            w, k = np.nonzero(held @ times + spare >= needed)
-            for first in range(0, len(w), 8192):
-                u, v = w[first : first + 8192], k[first : first + 8192]
-                close = common(s[u], marks[v]) >= needed[v]
+            held = np.zeros((len(s), len(chars) + 1), np.float32)
+            for k, c in enumerate(chars, 1):
+                held[:, k] = (s == c).sum(axis=1)
+            # A common subsequence takes ORDER places of the landmark whose characters the word has.
+            w, k = np.nonzero((held[:, 1:] > 0).astype(np.float32) @ times >= ORDER)
+            for p in range(0, len(w), 16_384):
+                u, v = w[p : p + 16_384], k[p : p + 16_384]
+                close = bound(held[u[:, None], at[v]]) > least[v]
                 u, v = u[close], v[close]
                 if len(u):
                     out[part[u], v] = kernel(s[u], marks[v]) / self.own[v]
-        np.minimum(out, 1, out=out)
-        out[out < LEAST] = 0
-        return out
+        return np.maximum(np.minimum(out, 1) - LEAST, 0) / (1 - LEAST)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = self.slope * (features @ self.weights + self.bias) + self.shift
@@ -198,6 +195,11 @@ class Words:
         return out
 
 
+def whole(gram: str) -> bool:
+    """Whether a candidate may be a landmark: a marked word, however short, or a long enough piece."""
+    return len(gram) >= GRAM or len(gram) > ORDER and gram[0] == START and gram[-1] == END
+
+
 def grams_of(text: str) -> set[str]:
     """Candidates for landmarks in a text: marked words and pieces of them."""
     grams = set()
@@ -279,7 +281,7 @@ def _evidence(p: np.ndarray, n: np.ndarray, rate: float, held: np.ndarray) -> np
     return np.where(share > rate, held * np.log(share / rate) + n * np.log((1 - share) / (1 - rate)), 0.0)
 
 
-def choose(candidates: list[str], toxic: list[list[int]], clean: list[list[int]]) -> list[str]:
+def choose(candidates: list[str], toxic: list[list[int]], clean: list[list[int]], most: int = TOXIC) -> list[str]:
     """Landmarks by greedy cover: each adds the most evidence for toxic documents that lack some."""
     hold = np.zeros((len(toxic), len(candidates)), bool)
     for d, found in enumerate(toxic):
@@ -289,9 +291,9 @@ def choose(candidates: list[str], toxic: list[list[int]], clean: list[list[int]]
         n[found] += 1
     p, rate = hold.sum(axis=0), len(toxic) / (len(toxic) + len(clean))
     need = np.full(len(toxic), COVER)
-    usable = np.array([len(c) >= GRAM for c in candidates], bool)
+    usable = np.array([whole(c) for c in candidates], bool)
     chosen: list[str] = []
-    while len(chosen) < TOXIC:
+    while len(chosen) < most:
         gain = np.where(usable, _evidence(p, n, rate, hold[need > 0].sum(axis=0)), 0)
         best = int(gain.argmax()) if len(gain) else 0
         if not len(gain) or gain[best] <= 2:
@@ -303,15 +305,17 @@ def choose(candidates: list[str], toxic: list[list[int]], clean: list[list[int]]
     return chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, id_col: str = "doc_id", text_col: str = "text", landmarks: tuple[int, int] = (TOXIC, CLEAN), most: int = CANDIDATES) -> Model:
     """A model of ``labels`` (id_col, toxic) and their documents.
 
     Reads at most ``sample`` documents of each class, those with the smallest hashes of their
-    ids. Null labels and ids are left out. Without documents of both classes, the model knows
+    ids, and takes at most ``landmarks`` landmarks from toxic and common strings, of at most
+    ``most`` candidates. Null labels and ids are left out; an id that is labelled both ways is
+    toxic. Without documents of both classes, the model knows
     no landmarks and gives the share of toxic ones.
     """
     ws = Workspace(docs.sparkSession, "toxicity")
-    marks = labels.select(labels[id_col].alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").dropDuplicates(["id"])
+    marks = labels.select(labels[id_col].alias("id"), F.col("toxic").cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     some = None
     for label, n in sample.items():
         part = marks.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
@@ -329,26 +333,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, i
     p, n = F.col("p"), F.col("n")
     share = (p + 0.5) / (p + n + 1)
     gain = F.when(share > rate, p * F.log(share / rate) + n * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    best = grams.where(p >= 2).select("gram", gain.alias("gain")).where("gain > 2").orderBy(F.desc("gain"), "gram").limit(CANDIDATES).collect()
+    best = grams.where(p >= 2).select("gram", gain.alias("gain")).where("gain > 2").orderBy(F.desc("gain"), "gram").limit(most).collect()
     candidates = [r[0] for r in best]
     held = chosen.mapInArrow(_present(candidates), "found array<int>, label int").collect()
-    landmarks = choose(candidates, [r[0] for r in held if r[1] == 1], [r[0] for r in held if r[1] == 0])
+    marks = choose(candidates, [r[0] for r in held if r[1] == 1], [r[0] for r in held if r[1] == 0], landmarks[0])
     for gram, *_ in grams.where((n > 0) & (F.length("gram") >= GRAM)).orderBy(F.desc("n"), "gram").limit(50).collect():
-        if len(landmarks) < TOXIC + CLEAN and len(gram) >= GRAM and all(alike(gram, c) < ALIKE for c in landmarks):
-            landmarks.append(gram)
-    own = np.array([_pair(m, m) for m in landmarks])
-    model = Model(landmarks, own, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
+        if len(marks) < sum(landmarks) and all(alike(gram, c) < ALIKE for c in marks):
+            marks.append(gram)
+    own = np.array([_pair(m, m) for m in marks])
+    model = Model(marks, own, np.zeros(len(marks)), 0.0, 1.0, 0.0)
     rows = chosen.mapInArrow(_features(model), "x binary, label int").collect()
-    x = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * len(landmarks))
+    x = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * len(marks))
     y = np.array([r[1] for r in rows])
     # Nyström: features are kernel values turned by the inverse root of the landmarks' own kernel.
-    gram = np.array([[_pair(a, b) for b in landmarks] for a in landmarks]) / np.sqrt(np.outer(own, own))
+    gram = np.array([[_pair(a, b) for b in marks] for a in marks]) / np.sqrt(np.outer(own, own))
     value, vector = np.linalg.eigh(gram)
     root = np.kron(np.eye(2), vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.2))) @ vector.T)
     w, bias = svm(x @ root, y, cost=1.0)
     weights = root @ w
     slope, shift = platt(x @ weights + bias, y)
-    return Model(landmarks, own, weights, bias, slope, shift)
+    return Model(marks, own, weights, bias, slope, shift)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

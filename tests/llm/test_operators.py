@@ -1,6 +1,7 @@
 """Operators on Spark: small tables with nulls, repeats, long texts and clashing columns, against plain versions."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -17,6 +18,7 @@ from fathomlog.llm.line_dedup import line_dedup
 from fathomlog.llm.near_dedup import Sizes, near_dedup
 from fathomlog.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
 from fathomlog.llm.piece_codec import encode_decode
+from fathomlog.llm.queries import op10_toxicity
 from fathomlog.llm.substring_dedup import substring_dedup
 from fathomlog.llm.token_counts import count_tokens
 from fathomlog.llm.toxicity import score, train
@@ -291,6 +293,24 @@ def test_toxicity(spark):
     assert score(table(spark, rows[:3]), empty).count() == 3
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize(("sf", "recall", "wrong"), [("sf0.01", 0.4, 0.03), ("sf0.1", 0.85, 0.02)])
+def test_toxicity_of_held_out_documents(spark, sf, recall, wrong):
+    held = op10_toxicity(spark, f"/root/testdata/{sf}").where("held_out").join(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet"), "doc_id").collect()
+    toxic = [x.predicted for x in held if x.toxic == 1]
+    clean = [x.predicted for x in held if x.toxic == 0]
+    assert np.mean(toxic) >= recall and np.mean(clean) <= wrong
+
+
+def test_toxicity_of_odd_tables(spark):
+    """Labels that repeat or disagree, repeated rows, rows without an id."""
+    rows = [(1, "a zquork b"), (1, "a zquork b"), (2, "plain words"), (None, "a zquork"), (3, "zquork then"), (4, "more plain words")]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 1), (3, 1), (2, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    found = score(table(spark, rows), train(table(spark, rows), labels)).collect()
+    assert len(found) == len(rows) and all(0 <= x.score <= 1 for x in found)
+    assert len({x.score for x in found if x.doc_id == 1}) == 1
+
+
 EMPTY = {
     "exact": exact_dedup,
     "near": near_dedup,

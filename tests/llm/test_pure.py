@@ -1,5 +1,6 @@
 """Parts of the operators without Spark, against plain versions."""
 
+import itertools
 import random
 
 import brute
@@ -16,7 +17,7 @@ from fathomlog.llm.line_dedup import patience
 from fathomlog.llm.packing import best_fit_decreasing, cut, lower_bound
 from fathomlog.llm.piece_codec import PieceCodec
 from fathomlog.llm.token_counts import CHUNK, TokenTree
-from fathomlog.llm.toxicity import alike, strings
+from fathomlog.llm.toxicity import DECAY, LEAST, ORDER, Model, alike, codes, kernel, strings, svm
 from fathomlog.llm.url_filter import UrlTrie
 
 ODD = ["", "  a  b\n\tc ", "x　y", "▁ ▁a ▁▁b", "\x00ab", "<s> </s><0x0A> <unk>", "   ", "\n\n \n", "a" * 3000, "日本語 🎉🎉", "é" * 50 + " \r\n", "<|endoftext|>", "\x1d a"]
@@ -149,3 +150,36 @@ def test_gapped_words_resemble():
     assert alike("\x02idiot\x03", "\x02i-d-iot\x03") > 0.3 > alike("\x02idiot\x03", "\x02garden\x03")
     assert "\x02idiot\x03" in strings("You i d i o t of") or "\x02idiot\x03" in strings("see: i d i o t .")
     assert strings("") == set() and all(len(s) <= 24 for s in strings("x" * 999))
+
+
+def plain_kernel(s: str, t: str) -> float:
+    """Sum over common subsequences, from all choices of places."""
+
+    def weights(x):
+        out = {}
+        for at in itertools.combinations(range(len(x)), ORDER):
+            key = "".join(x[k] for k in at)
+            out[key] = out.get(key, 0) + DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    a, b = weights(s), weights(t)
+    return sum(v * b[k] for k, v in a.items() if k in b)
+
+
+def test_kernel_equals_its_definition():
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))
+    words, marks = sorted({word() for _ in range(200)}), [word() + "abc" for _ in range(6)]
+    for a, b in zip(words, words[1:], strict=False):
+        assert np.isclose(kernel(codes([a]), codes([b]))[0], plain_kernel(a, b), rtol=1e-5)
+    found = Model(marks, np.array([plain_kernel(m, m) for m in marks]), np.zeros(6), 0.0, 1.0, 0.0).values(words)
+    want = [[max(min(plain_kernel(w, m) / plain_kernel(m, m), 1) - LEAST, 0) / (1 - LEAST) for m in marks] for w in words]
+    assert np.allclose(found, want, atol=1e-5) and (found > 0).mean() > 0.02
+    ends = Model(["\x02disgusting\x03"], np.array([plain_kernel("\x02disgusting\x03", "\x02disgusting\x03")]), np.zeros(1), 0.0, 1.0, 0.0)
+    assert (ends.values(["\x02disgust\x03", "\x02disgusted\x03"]) > 0.25).all()
+
+
+def test_svm_finds_the_widest_margin():
+    x = np.array([[-1.0, 0.3], [-2.0, -0.5], [1.0, 0.2], [3.0, 0.1], [-1.0, -0.7], [1.0, -0.9]])
+    w, b = svm(x, np.array([0, 0, 1, 1, 0, 1]), cost=1000.0, rounds=3000)
+    assert np.allclose(w, [1, 0], atol=0.02) and abs(b) < 0.02
