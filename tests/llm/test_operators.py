@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fathomlog.llm.byte_tokens import encoder
 from fathomlog.llm.embedding_dedup import embedding_dedup
-from fathomlog.llm.exact_dedup import exact_dedup, keep_unique
+from fathomlog.llm.exact_dedup import DigestIndex, exact_dedup, keep_unique, sha256
 from fathomlog.llm.line_dedup import line_dedup
 from fathomlog.llm.near_dedup import Sizes, near_dedup
 from fathomlog.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
@@ -23,6 +23,7 @@ from fathomlog.llm.substring_dedup import substring_dedup
 from fathomlog.llm.token_counts import count_tokens
 from fathomlog.llm.toxicity import score, train
 from fathomlog.llm.url_filter import filter_urls
+from fathomlog.llm.workspace import Workspace
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -115,8 +116,42 @@ def test_exact(spark, docs, keep):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.keep_id) for r in found)
 
 
+def test_index_takes_batches(spark):
+    """Further batches leave earlier runs as they are, until a level is full; filters spare the rest."""
+    r, want = random.Random(8), {}
+    ws = Workspace(spark, "test")
+    index = DigestIndex(ws, "min", fan=3)
+    files, numbers = {}, []
+
+    def listed(run):
+        return sorted((f, os.path.getmtime(f.removeprefix("file://"))) for f in run.entries.inputFiles() + run.filters.inputFiles())
+
+    for k in range(4):
+        batch = [(1000 * k + j, f"text {r.randrange(600)}") for j in range(400)]
+        for i, t in batch:
+            n, first = want.get(t, (0, i))
+            want[t] = n + 1, min(first, i)
+        df = spark.createDataFrame(batch, "id long, text string").select("id", sha256(F.col("text")).alias("digest"))
+        if k == 1:
+            found = {x.digest: (x.group_size, x.keep_id) for x in index.lookup(df).collect()}
+            held = {hashlib.sha256(t.encode()).digest() for _, t in batch}
+            assert found == {d: v for d, v in before.items() if d in held}  # noqa: F821
+            probed = index.probe(df.select("digest", "id", F.lit(0).cast("long").alias("n")), F.lit(-1)).collect()
+            assert len(probed) == 400 and all(x.claimed for x in probed if x.digest in before) and sum(x.claimed for x in probed if x.digest not in before) < 40  # noqa: F821
+        index.add(df)
+        for run in index.runs:
+            if run.number in files:
+                assert listed(run) == files[run.number]
+            files[run.number] = listed(run)
+        numbers.append([(run.number, run.level) for run in index.runs])
+        entries = {x.digest: (x.group_size, x.keep_id) for x in index.entries().collect()}
+        assert entries == {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+        before = entries
+    assert numbers == [[(0, 0)], [(0, 0), (1, 0)], [(3, 1)], [(3, 1), (4, 0)]]
+
+
 def test_exact_with_a_weak_digest(spark, docs):
-    strong, weak = (sorted(map(tuple, exact_dedup(table(spark, docs), digest=d).collect())) for d in (exact_dedup.__defaults__[3], lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 1))))
+    strong, weak = (sorted(map(tuple, exact_dedup(table(spark, docs), digest=d).collect())) for d in (sha256, lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 1))))
     assert strong == weak
     assert keep_unique(table(spark, docs)).count() == len({t or "" for _, t in docs})
 
