@@ -147,18 +147,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     keyed = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_key"), "text")
     parsed = ws.write(keyed.mapInArrow(_parse(window, gram), f"id {kind}, text_key long, n_words long, words_sha256 string, runs {RUNS}"), "parsed")
     runs = parsed.where("id is not null").select("id", "text_key", F.inline("runs"))
-    shared = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    # What is joined on a key of its own sums is written first: so a frequent key's rows can be split.
+    shared = ws.write(runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), "shared")
     runs = ws.write(runs.hint("merge").join(shared, "anchor"), "runs")
     entry = ["anchor", "context", "lead", "n"]
-    index = runs.groupBy(entry).agg(F.min("id").alias("first"))
-    mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries"))
+    index = ws.write(runs.groupBy(entry).agg(F.min("id").alias("first")), "index")
+    mixed = ws.write(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("anchor"), "mixed")
     placed = ws.write(runs.hint("merge").join(index, entry), "placed")
+    ws.drop("shared", "runs", "index")
     inside = placed.where(F.col("id") > F.col("first")).select("id", "text_key", "start", "n")
-    border = placed.where(F.col("id") == F.col("first")).join(mixed.where("entries > 1").select("anchor"), "anchor")
+    border = placed.where(F.col("id") == F.col("first")).hint("merge").join(mixed, "anchor")
     border = border.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
     single = keyed.hint("merge").join(border, ["id", "text_key"]).mapInArrow(_windows(window), f"anchor long, hash long, id {kind}, text_key long, start int")
     single = ws.write(single, "windows")
     earliest = single.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("anchor", "hash", "first")
+    earliest = ws.write(earliest, "earliest")
     straddling = single.hint("merge").join(earliest, ["anchor", "hash"]).where(F.col("id") > F.col("first")).select("id", "text_key", "start", F.lit(1).alias("n"))
     spans = inside.unionByName(straddling).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     removed = keyed.hint("merge").join(spans, ["id", "text_key"]).mapInArrow(_remove(window), f"id {kind}, text_key long, n_removed long, kept_text string")
