@@ -68,3 +68,41 @@ def near(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     links = [(a, b) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
     found = components(sets, links)
     return {d: (len(s), found[d]) for d, s in sets.items()}
+
+
+def _line_runs(lines: list[str], block: int):
+    """The shortest runs of consecutive lines with ``block`` characters that begin, or end, at each line."""
+    for k in range(len(lines)):
+        for step in (1, -1):
+            total, e = 0, k
+            while 0 <= e < len(lines):
+                total += len(lines[e])
+                if total >= block:
+                    yield min(k, e), max(k, e) + 1
+                    break
+                e += step
+
+
+def lines(docs: list[tuple[int, str | None]], block: int = 60) -> tuple[dict[int, int], dict[int, int]]:
+    """Lines to delete of each first text: in any run that an earlier one holds, and by one alignment with every earlier one."""
+    from fathomlog.llm.line_dedup import patience
+
+    first: dict[str, int] = {}
+    for d, t in sorted(docs):
+        first.setdefault(t or "", d)
+    known, seen, by_run, by_partner = set(), {}, {}, {}
+    for d, t in sorted(docs):
+        if first[t or ""] != d:
+            continue
+        own = [x.strip(" ") for x in (t or "").split("\n")]
+        mine = list(_line_runs(own, block))
+        by_run[d] = len({k for a, b in mine if tuple(own[a:b]) in known for k in range(a, b)})
+        gone = set()
+        for other in seen.values():
+            for i, _, n in patience(own, other):
+                if sum(map(len, own[i : i + n])) >= block:
+                    gone |= set(range(i, i + n))
+        by_partner[d] = len(gone)
+        known |= {tuple(own[a:b]) for a, b in mine}
+        seen[d] = own
+    return by_run, by_partner

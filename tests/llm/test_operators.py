@@ -236,6 +236,30 @@ def test_lines(spark):
     assert found[7][1] == 0 and found[8] == (1, 0, 0, None)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_lines_of_all_documents(spark):
+    """Every line of a run that an earlier text holds goes; that is no less than one alignment with all earlier texts."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    by_run, by_partner = brute.lines(docs)
+    found = {r.doc_id: r.n_removed for r in line_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.doc_id in by_run}
+    assert found == by_run and all(found[d] >= n for d, n in by_partner.items()) and sum(found.values()) > 200
+
+
+def test_lines_that_repeat_and_move(spark):
+    """Few different lines, in all orders: what blocks can be made of them, and a document id with two texts."""
+    r = random.Random(6)
+    line = [f"line {k} " + "x" * r.choice([5, 15, 30, 45, 70]) for k in range(12)]
+    rows = [(k, "\n".join(r.choice(line) for _ in range(r.randint(1, 9)))) for k in range(60)]
+    by_run, by_partner = brute.lines(rows)
+    found = {x.doc_id: x.n_removed for x in line_dedup(table(spark, rows)).collect() if x.doc_id in by_run}
+    assert found == by_run and all(found[d] >= n for d, n in by_partner.items())
+    long = "a line of more than sixty characters, which stands in two of the texts"
+    rows = [(1, "own\nother " + long), (1, long + "\nother"), (2, "its own\n" + long), (2, "its own\n" + long)]
+    for _ in range(2):
+        found = sorted(tuple(x) for x in line_dedup(table(spark, rows)).collect() if x.doc_id == 2)
+        assert found == [(2, 2, 1, 1, "its own")] * 2
+
+
 def test_lines_of_many_partners(spark):
     """A document put together from fourteen earlier ones: every part goes, however rare its line."""
     block = lambda k: [f"block {k}, line {n}, with words enough to be a line of its own" for n in range(2)]
