@@ -357,13 +357,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, sizes: Sizes = SIZES) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, component_id, kept.
+    """One row per row of ``docs``: id_col, n_shingles, component_id, kept, text_key.
 
     component_id is the smallest id reachable by links, kept says that it is the row's own.
     Null and empty texts, and texts of white space, have no shingles, link with nothing, and
     are kept; so are rows without an id, whose component_id is null. Rows that repeat an id
     are one document if their sets are equal; else each links for itself. Other columns are
-    ignored; no rows give no rows. ``sizes`` says where nodes are split, whatever the result.
+    ignored; no rows give no rows. text_key (of xxhash64) tells apart texts of rows that repeat
+    an id. ``sizes`` says where nodes are split, whatever the result.
     """
     ws = Workspace(docs.sparkSession, "near")
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -404,9 +405,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = classes.join(comp.withColumnRenamed("node", "row"), "row", "left").select("d1", "d2", "n", "id", F.coalesce("component", "row").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("id").alias("component_id"))
     whole = whole.join(smallest, "component").select("d1", "d2", "n", "component_id")
-    out = sketch.select("id", "n", "d1", "d2").join(whole, ["d1", "d2", "n"], "left")
+    out = sketch.select("id", "key", "n", "d1", "d2").join(whole, ["d1", "d2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), F.col("key").alias("text_key"))
 
 
 def _crowded(entries: DataFrame, ws: Workspace, name: str) -> DataFrame:

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .spans import as_strings
-from .workspace import Workspace
+from .workspace import Workspace, small_batches
 
 ORDER, DECAY = 4, 0.6
 #: Labelled documents of each class that training reads at most, by the hash of their ids.
@@ -355,19 +356,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, i
     return Model(marks, own, weights, bias, slope, shift)
 
 
+def _scores(model: Model, text_at: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(model)
+        for batch in batches:
+            x = words.features(as_strings(batch.column(text_at)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k < len(names) - 1), pa.array(model.score(x.astype(np.float64)))], names)
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col and score (0 to 1) of every row of ``docs``; a null text is empty.
 
     Texts without words get the score of a text without any landmark. Every row stays;
     other columns are ignored; no rows give no rows.
     """
-    Workspace(docs.sparkSession, "score")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(_scores(model, 1, ["id", "score"]), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
-        for batch in batches:
-            x = words.features(as_strings(batch.column(1)).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x.astype(np.float64)))], ["id", "score"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs``, and ``score_col`` behind them: each row's own, without a shuffle."""
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col}; name another one for the score")
+    small_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(_scores(model, docs.columns.index(text_col), schema.names), schema)

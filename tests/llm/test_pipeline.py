@@ -60,3 +60,38 @@ def test_stages(spark, tmp_path):
     encode = encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert sum(p.length for p in pieces) == sum(len(encode(x.text or "")) + 1 for x in found.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept(spark, tmp_path, rows, stage):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert out.columns == COLUMNS or stage == "best_fit_packing"
+    return sorted(((x.doc_id, getattr(x, "text", None)) for x in out.collect()), key=repr)
+
+
+def test_rows_without_ids_and_repeated_ids(spark, tmp_path):
+    r = random.Random(4)
+    plain = lambda n: " ".join("".join(r.choice("abcdeghilnorst") for _ in range(r.randint(2, 7))) for _ in range(n))
+    rows = [(i, plain(30) + (" zquorkel vlimpfy" if i % 4 == 0 else "")) for i in range(80)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean, toxic = plain(20), plain(20) + " zquorkel vlimpfy"
+    odd = [(None, toxic), (None, clean), (5, clean), (5, toxic), (5, clean), (6, None), (7, "")]
+    assert kept(spark, tmp_path, odd, "toxicity") == sorted([(None, clean), (5, clean), (5, clean), (6, None), (7, "")], key=repr)
+    one, two = plain(60), plain(60)
+    copies = [(1, one), (9, one), (9, one), (None, one), (None, two), (None, two), (4, None), (3, ""), (9, "other")]
+    assert kept(spark, tmp_path, copies, "exact_dedup") == sorted([(9, one), (None, two), (4, None), (9, "other")], key=repr)
+    alike = [(2, one), (None, one + " end"), (None, two), (3, two + " end"), (3, one + " ends"), (8, None), (None, "")]
+    assert kept(spark, tmp_path, alike, "near_dedup") == sorted([(2, one), (3, two + " end"), (8, None), (None, "")], key=repr)
+    shared = [(2, f"a {one}"), (None, f"b {one} c"), (2, "short"), (None, None)]
+    assert kept(spark, tmp_path, shared, "substring_dedup") == sorted([(2, f"a {one}"), (None, "b c"), (2, "short"), (None, None)], key=repr)
+    assert [i for i, _ in kept(spark, tmp_path, shared, "best_fit_packing")] == [2, 2, None, None]
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
