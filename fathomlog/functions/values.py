@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Callable
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -100,33 +100,86 @@ def canonical(text: str | None) -> str | None:
         return None
 
 
+def _series(kind: str, f: Callable, *columns: pd.Series) -> pd.Series:
+    """``f`` of each row, null where a column is; equal rows of the batch are computed once."""
+    known: dict = {}
+    out = []
+    for row in zip(*(c.tolist() for c in columns), strict=True):
+        if row not in known:
+            known[row] = None if any(x is None or x is pd.NA or x != x for x in row) else f(*row)
+        out.append(known[row])
+    return pd.Series(out, dtype="Int64" if kind == "long" else "float64" if kind == "double" else "object")
+
+
 def _udf(kind: str, f: Callable):
     """A pandas UDF of one, two or three columns that is null where any of them is."""
 
-    def apply(*columns: pd.Series) -> pd.Series:
-        out = [None if any(x is None or x is pd.NA or x != x for x in row) else f(*row) for row in zip(*columns, strict=True)]
-        return pd.Series(out, dtype="object" if kind in ("string", "boolean", "array<string>") or kind.startswith("array") else "Int64" if kind == "long" else "float64")
+    def one(a: pd.Series) -> pd.Series:
+        return _series(kind, f, a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _series(kind, f, a, b)
 
-    names = ["a", "b", "c"]
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return _series(kind, f, a, b, c)
 
     def call(*args: Column) -> Column:
-        n = len(args)
-        source = f"def g({', '.join(f'{x}: pd.Series' for x in names[:n])}) -> pd.Series:\n    return apply({', '.join(names[:n])})"
-        scope: dict = {"pd": pd, "apply": apply}
-        exec(source, scope)  # a signature with as many columns as are given
-        return F.pandas_udf(scope["g"], kind)(*args)
+        return F.pandas_udf((one, two, three)[len(args) - 1], kind)(*args)
 
     return call
 
 
-def _at(text: str, key) -> str | None:
-    x = load(text)
+# What the functions do with parsed JSON; ``_NONE`` is no value.
+_NONE = object()
+
+
+def _entry(x: Any, key) -> Any:
     if isinstance(x, dict) and isinstance(key, str):
-        return dump(x[key]) if key in x else None
+        return x.get(key, _NONE)
     if isinstance(x, list) and not isinstance(key, str):
         k = int(key)
-        return dump(x[k]) if 0 <= k < len(x) else None
-    return None
+        return x[k] if 0 <= k < len(x) else _NONE
+    return _NONE
+
+
+def _integer(x: Any) -> Any:
+    return _NONE if isinstance(x, bool) or not isinstance(x, int | float) or x != int(x) or abs(x) > MAX_INT else int(x)
+
+
+def _real(x: Any) -> Any:
+    return _NONE if isinstance(x, bool) or not isinstance(x, int | float) else float(x)
+
+
+def _string(x: Any) -> Any:
+    return x if isinstance(x, str) else _NONE
+
+
+_FINAL = {"integer": ("long", _integer), "float": ("double", _real), "string": ("string", _string), "value": ("string", dump)}
+
+
+def _walk(keys: tuple, final: str, parses: bool, text: str) -> Any:
+    try:
+        x = load(text)
+    except (ValueError, RecursionError):
+        if parses:
+            return None
+        raise
+    for key in keys:
+        x = _entry(x, key)
+        if x is _NONE:
+            return None
+    x = _FINAL[final][1](x)
+    return None if x is _NONE else x
+
+
+def path(keys: tuple, final: str, parses: bool) -> Callable[[Column], Column]:
+    """The entry under literal keys of a JSON text, as ``final``, in one step; ``parses`` takes any text."""
+    return _udf(_FINAL[final][0], partial(_walk, keys, final, parses))
+
+
+def _at(text: str, key) -> str | None:
+    x = _entry(load(text), key)
+    return None if x is _NONE else dump(x)
 
 
 def _cut(text: str, start, end) -> str | None:
@@ -162,23 +215,6 @@ def _elements(text: str) -> list:
     return [{"k": k, "v": dump(v)} for k, v in enumerate(x)] if isinstance(x, list) else []
 
 
-def _to_integer(text: str) -> int | None:
-    x = load(text)
-    if isinstance(x, bool) or not isinstance(x, int | float) or x != int(x) or abs(x) > MAX_INT:
-        return None
-    return int(x)
-
-
-def _to_float(text: str) -> float | None:
-    x = load(text)
-    return None if isinstance(x, bool) or not isinstance(x, int | float) else float(x)
-
-
-def _to_string(text: str) -> str | None:
-    x = load(text)
-    return x if isinstance(x, str) else None
-
-
 parse = _udf("string", canonical)
 at = _udf("string", _at)
 cut = _udf("string", _cut)
@@ -188,11 +224,17 @@ keys = _udf("string", _keys)
 values = _udf("string", _values)
 entries = _udf("array<struct<k:string,v:string>>", _entries)
 elements = _udf("array<struct<k:long,v:string>>", _elements)
-as_integer = _udf("long", _to_integer)
-as_float = _udf("double", _to_float)
-as_string = _udf("string", _to_string)
+as_integer, as_float, as_string = (path((), kind, False) for kind in ("integer", "float", "string"))
 float_text = _udf("string", lambda x: js_number(float(x)))
-quote = _udf("string", dump)
+
+
+def quote(text: Column) -> Column:
+    """A string as JSON: what ``dump`` gives, by built-in functions."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    odd = plain
+    for k in range(32):
+        odd = F.replace(odd, F.lit(chr(k)), F.lit(json.dumps(chr(k))[1:-1]))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), odd).otherwise(plain), F.lit('"'))
 
 
 def as_boolean(text: Column) -> Column:
@@ -208,9 +250,6 @@ def type_of(text: Column) -> Column:
     return out.otherwise("number")
 
 
-_PLAIN = re.compile(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*$")
-
-
 def lift(col: Column, kind: str) -> Column:
     """Canonical text of a primitive column; SQL NULL stays."""
     if kind == "value":

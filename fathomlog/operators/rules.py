@@ -170,7 +170,11 @@ class Body:
         for x, y in ((e.left, e.right), (e.right, e.left)):
             if isinstance(x, Var) and x.name not in self.bound and x.name not in variables(y) and self._ready(y) and not self._in_atom(x.name):
                 t = self._typed(y)
-                self._bind(x.name, t.make(self._cols()), t.type)
+                col = t.make(self._cols())
+                if t.partial and Typer({**self.env, **self.types}).slow(y):
+                    self._bind(x.name, _valued(col), t.type)
+                    return True
+                self._bind(x.name, col, t.type)
                 if t.partial:
                     self.df = self.df.where(F.col(self.bound[x.name]).isNotNull())
                 return True
@@ -318,6 +322,11 @@ class Body:
         return True
 
 
+def _valued(col: Column) -> Column:
+    """A generator of the column where it has a value: so Python computes it once, not to filter and again to show."""
+    return F.explode(F.filter(F.array(col), lambda v: v.isNotNull()))
+
+
 def _name_of(t: Typed) -> str:
     """Column name behind a bare column maker."""
     return t.make.__defaults__[0]
@@ -389,9 +398,13 @@ def rule_rows(spark: SparkSession, rule: Rule, sig: dict[str, list[Type]], relat
         for k, (e, want) in enumerate(zip(exprs, target, strict=True)):
             t = head.of(e)
             source = Type(t.type.base, False, t.type.shape) if t.partial else t.type
-            out.append(convert(t.make(cols), source, want.base).alias(f"c{k}"))
-            if t.partial:
+            col = t.make(cols)
+            if t.partial and not aggs and head.slow(e):
+                df = df.withColumn(f"h{k}_", _valued(col))
+                col = F.col(f"h{k}_")
+            elif t.partial:
                 guards.append(f"c{k}")
+            out.append(convert(col, source, want.base).alias(f"c{k}"))
     except Unknown as x:
         raise ProgramError(f"{rule.pred}: the type of {x} is not known") from None
     df = df.select(*out) if out else df.select(F.lit(True).alias(MARK))

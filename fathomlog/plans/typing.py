@@ -140,7 +140,36 @@ class Typer:
         self.partials = partials
 
     def of(self, e) -> Typed:
-        return getattr(self, "_" + type(e).__name__.lower())(e)
+        t = getattr(self, "_" + type(e).__name__.lower())(e)
+        return self._fused(e, t) if isinstance(e, Call | Index) else t
+
+    def _fused(self, e, t: Typed) -> Typed:
+        """Literal subscripts of a JSON text, and what is taken out of them, as one step."""
+        final, keys, parses = "value", [], False
+        if isinstance(e, Call) and e.name in ("as_integer", "as_float", "as_string"):
+            final, e = e.name.removeprefix("as_"), e.args[0]
+        while isinstance(e, Index) and isinstance(e.at, Lit) and self.of(e.of).type.base == "value":
+            keys.append(e.at.value)
+            e = e.of
+        if not keys:
+            return t
+        if isinstance(e, Call) and e.name == "parse_json":
+            parses, e = True, e.args[0]
+        if len(keys) + (final != "value") + parses < 2:
+            return t
+        text = self.operand(e, "string") if parses else self._lifted(e)
+        get = V.path(tuple(reversed(keys)), final, parses)
+        return replace(t, make=lambda c: get(text.make(c)))
+
+    def slow(self, e) -> bool:
+        """Whether a Python function computes some of an expression."""
+        if isinstance(e, Call) and (e.name in ("parse_json", "keys", "values", "has_key") or e.name.startswith(("as_", "to_string")) or e.name == "length" and self.of(e.args[0]).type.base == "value"):
+            return True
+        if isinstance(e, Index | Cut) and self.of(e.of).type.base == "value":
+            return True
+        if isinstance(e, tuple):
+            return any(self.slow(x) for x in e)
+        return hasattr(e, "__dataclass_fields__") and any(self.slow(getattr(e, f)) for f in e.__dataclass_fields__)
 
     # -- leaves
     def _var(self, e: Var) -> Typed:
