@@ -7,29 +7,15 @@ lives on one machine only.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomlog.shipping import ship
+from fathomlog.storage import new_root, remove
 
 #: Rows of one Arrow batch sent to Python: whole texts can be long.
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir()
-    path = "file://" + tempfile.mkdtemp(prefix="fathomlog-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts takes in a Python worker; ship the package there."""
     ship(spark)
@@ -47,7 +33,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_root(spark, name)
         small_batches(spark)
 
     def path(self, name: str) -> str:
@@ -62,8 +48,5 @@ class Workspace:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, self.path(name))
