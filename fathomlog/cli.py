@@ -51,10 +51,11 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--obligations", action="store_true", help="print SMT-LIB texts of the constraints")
     args.add_argument("--trace", action="store_true")
     args.add_argument("--warn-undefined", action="store_true", help="also warn of expressions that may have no value")
+    args.add_argument("--no-csv-header", action="store_true", help="CSV files begin with data")
     given = args.parse_args(argv)
     spark = SparkSession.builder.appName("fathomlog").getOrCreate()
     folder = os.path.dirname(os.path.abspath(given.program)) if given.program else os.getcwd()
-    session = Session(spark, folder, given.max_iterations, (lambda e: print(e, file=sys.stderr)) if given.trace else None)
+    session = Session(spark, folder, given.max_iterations, (lambda e: print(e, file=sys.stderr)) if given.trace else None, csv_header=not given.no_csv_header)
     for pair in given.input:
         name, _, path = pair.partition("=")
         if not path or name in session.bound:

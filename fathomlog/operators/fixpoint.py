@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from itertools import count
 
@@ -129,16 +130,27 @@ class Engine:
         check_safety(self.core)
         check_strata(self.core)
         needed = None if wanted is None else self._closure(wanted)
+        bodies = [(p, r.body) for p, rules in self.core.rules.items() for r in rules if needed is None or p in needed]
+        bodies += [(None, c.body) for c in self.core.constraints] + ([(None, self.core.query.body)] if self.core.query else [])
+        reads = Counter(a.pred for _, body in bodies for a in body if isinstance(a, Atom))
         for part in strata(self.core):
             if needed is not None and not needed & set(part):
                 continue
             if not is_recursive(self.core, part):
-                self.relations[part[0]] = self._union(part[0], self.core.rules[part[0]], self.read)
+                found = self._union(part[0], self.core.rules[part[0]], self.read)
+                if reads.get(part[0], 0) > 1 and self._shuffles(part[0]):
+                    found = Relation(self.store.keep(found.df), found.types, found.unique)
+                self.relations[part[0]] = found
             elif len({self.core.rules[p][0].maximal for p in part}) == 1:
                 self._semi_naive(part, self.read)
             else:
                 self._alternate(part)
 
+    def _shuffles(self, pred: str) -> bool:
+        """Whether a view costs enough to be kept rather than computed by each of its readers."""
+        rules = self.core.rules[pred]
+        return len(self._merged_facts(rules)) > 1 or any(any(aggregates(t.expr) for t in r.terms) or sum(isinstance(a, Atom) for a in r.body) > 1 for r in rules)
+
     def _closure(self, wanted: set[str]) -> set[str]:
         out, todo = set(), list(wanted)
         while todo:

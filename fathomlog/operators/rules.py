@@ -20,6 +20,8 @@ from fathomlog.plans.typing import Type, Typed, Typer, Unknown, convert, same, s
 from fathomlog.syntax import Agg, Atom, Bin, Eq, Filter, Lit, ProgramError, Range, Rule, Var, variables
 
 MARK = "m"
+#: Numbers that a range puts into one array at most.
+RANGE = 4096
 
 
 @dataclass
@@ -193,6 +195,12 @@ class Body:
             typer = Typer({**self.env, **self.types})
             low, high = typer.operand(e.low, "integer").make(self._cols()), typer.operand(e.high, "integer").make(self._cols())
             self.df = self._start().where(low <= high)
+            if not (isinstance(e.low, Lit) and isinstance(e.high, Lit) and e.high.value - e.low.value < RANGE):
+                # Two short arrays in place of one that a wide range would fill memory with.
+                name = self._name()
+                self.df = self.df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low) / RANGE))))
+                low = low + F.col(name) * RANGE
+                high = F.least(high, low + (RANGE - 1))
             self._bind(e.expr.name, F.explode(F.sequence(low, high)), Type("integer"))
             return True
         if not self._ready(e.expr):

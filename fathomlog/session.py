@@ -17,7 +17,7 @@ from .plans.inference import infer
 from .plans.obligations import obligations
 from .plans.typing import Typer
 from .shipping import ship
-from .sources.loaders import from_frame, load
+from .sources.loaders import exists, from_frame, load
 from .syntax import Agg, Constraint, Input, Program, ProgramError, Query, Rule, Var, parse, variables
 
 PROBE = "__probe"
@@ -66,10 +66,11 @@ class Session:
 
     ``max_iterations`` limits the rounds of a recursion (none by default); what was derived up to there is kept
     and the predicates are named in ``Result.capped``. ``trace`` gets a dict for each round.
+    ``csv_header`` says whether the first row of CSV files names the columns.
     """
 
-    def __init__(self, spark: SparkSession, directory: str | None = None, max_iterations: int | None = None, trace: Callable[[dict], None] | None = None, resolve: Callable[[str], str] | None = None):
-        self.spark, self.directory = spark, directory
+    def __init__(self, spark: SparkSession, directory: str | None = None, max_iterations: int | None = None, trace: Callable[[dict], None] | None = None, resolve: Callable[[str], str] | None = None, csv_header: bool = True):
+        self.spark, self.directory, self.csv_header = spark, directory, csv_header
         self.max_iterations, self.trace = max_iterations, trace
         self.resolve = resolve or self._read_module
         self.bound: dict[str, Bound] = {}
@@ -94,12 +95,12 @@ class Session:
         if b is None and self.directory:
             for ext in ("csv", "jsonl", "json", "parquet", "mmd"):
                 path = os.path.join(self.directory, f"{decl.name}.{ext}")
-                if os.path.exists(path):
+                if exists(self.spark, path):
                     b = Bound(path)
                     break
         if b is None:  # an input that nothing supplies is empty
             return Relation(empty(self.spark, types), types, True)
-        df = from_frame(b.source, decl) if isinstance(b.source, DataFrame) else load(self.spark, b.source, decl, b.format)
+        df = from_frame(b.source, decl) if isinstance(b.source, DataFrame) else load(self.spark, b.source, decl, b.format, self.csv_header)
         return Relation(df, types, b.unique)
 
     def compile(self, source: str | Program) -> Core:

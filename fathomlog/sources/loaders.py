@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from fathomlog.functions import values as V
 from fathomlog.plans.typing import declared, spark_type
+from fathomlog.storage import new_root
 from fathomlog.syntax import MAX_INT, Column, Input, ProgramError, TypeRef
 
 INTEGER = r"^(0|-?[1-9][0-9]*)$"
@@ -92,7 +93,10 @@ def contract(text: SparkColumn, c: Column, name: str) -> SparkColumn:
 
 
 def csv(spark: SparkSession, path: str, decl: Input, header: bool = True) -> DataFrame:
-    reader = spark.read.options(header=str(header).lower(), multiLine="true", escape='"', mode="FAILFAST", enforceSchema="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", inferSchema="false")
+    # A record that goes on in the next line leaves a line with an odd number of quotes; files without are read in splits.
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    folded = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    reader = spark.read.options(header=str(header).lower(), multiLine=str(folded).lower(), escape='"', mode="FAILFAST", enforceSchema="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", inferSchema="false")
     raw = reader.csv(path)
     if header:
         names = [n.lstrip("﻿") for n in raw.columns]
@@ -281,8 +285,29 @@ Loader = Callable[[SparkSession, str, Input], DataFrame]
 LOADERS: dict[str, Loader] = {"csv": csv, "jsonl": jsonl, "ndjson": jsonl, "json": json_file, "parquet": parquet, "mmd": mermaid, "mermaid": mermaid}
 
 
-def load(spark: SparkSession, path: str, decl: Input, fmt: str | None = None) -> DataFrame:
-    """By the format named, else the extension; ``gh:owner/repo/path`` is a file of a public host."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store Spark reads the path from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def fetched(spark: SparkSession, url: str, kind: str) -> str:
+    """A page put into the folder that executors share, as a file."""
+    path = f"{new_root(spark, 'fetched')}/page.{kind}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with urllib.request.urlopen(url, timeout=60) as page:
+        stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+        while part := page.read(1 << 20):
+            stream.write(bytearray(part))
+        stream.close()
+    return path
+
+
+def load(spark: SparkSession, path: str, decl: Input, fmt: str | None = None, header: bool = True) -> DataFrame:
+    """By the format named, else the extension; ``gh:owner/repo/path`` is a file of a public host.
+
+    ``header`` says whether the first row of CSV files names the columns.
+    """
     if path.startswith("gh:"):
         owner, repo, rest = path[3:].split("/", 2)
         path = f"https://raw.githubusercontent.com/{owner}/{repo}/HEAD/{rest}"
@@ -290,9 +315,12 @@ def load(spark: SparkSession, path: str, decl: Input, fmt: str | None = None) ->
     if re.match(r"https?://", path):
         if "docs.google.com/spreadsheets" in path or fmt == "gsheet":
             return sheet(spark, path, decl)
-        if kind not in ("json", "csv"):
-            raise ProgramError(f"{path}: only JSON, CSV and spreadsheets are read over HTTP")
-        return (json_url if kind == "json" else csv_url)(spark, path, decl)
+        if kind == "json":
+            return json_url(spark, path, decl)
+        if kind == "csv" and header:
+            return csv_url(spark, path, decl)
+        if kind in LOADERS:
+            path = fetched(spark, path, kind)
     if kind not in LOADERS:
-        raise ProgramError(f"{path}: unknown format {kind}")
-    return LOADERS[kind](spark, path, decl)
+        raise ProgramError(f"{path}: unknown format {kind}; known are {', '.join(LOADERS)}")
+    return csv(spark, path, decl, header) if kind == "csv" else LOADERS[kind](spark, path, decl)

@@ -27,6 +27,8 @@ PROGRAMS = {
     "precedence": ("?- X = 2 + 3 * 2 ** 2, Y = 1 - 2 - 3.", {(14.0, -4)}),
     "strings": ('?- S = "héllo", A = S[1], B = S[1:3], C = S[9], D = upper(S), E = length(S), F = S + 1.5.', {("héllo", "é", "él", "", "HéLLO", 5, "héllo1.5")}),
     "conditional": ('?- X in [1 .. 3], S = X > 2 ? "big" : "small".', {(1, "small"), (2, "small"), (3, "big")}),
+    "a wide range": ("s(10000). ?- s(N), I in [1 .. N], I % 2500 = 0.", {(10000, 2500), (10000, 5000), (10000, 7500), (10000, 10000)}),
+    "views of views": ("a(1). a(2). b(X, Y) :- a(X), a(Y). c(X, Z) :- b(X, Y), b(Y, Z). d(X, Z) :- c(X, Y), c(Y, Z). ?- d(1, X).", {(1,), (2,)}),
     "range of another": ("s(2). s(0). ?- s(N), I in [1 .. N].", {(2, 1), (2, 2)}),
     "round half away": ("?- A = round(2.5), B = round(-0.5), C = round(1.255, 1), D = round(1250, -2).", {(3, -1, 1.3, 1300)}),
     "numbers as text": ("?- A = to_string(1.0), B = to_string(1.0e) .".replace("1.0e", "0.1"), {("1", "0.1")}),

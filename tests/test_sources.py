@@ -18,6 +18,36 @@ def test_csv(spark, tmp_path):
     assert load(spark, tmp_path, "p.csv", text, program) == {("Ada, A.", 36, True), (" Bob ", None, False)}
 
 
+def test_csv_in_splits_and_folded(spark, tmp_path):
+    """Records with line breaks inside quotes, and files without any; files that begin with data."""
+    program = "input predicate p(a: string, b: integer). ?- p(X, Y)."
+    assert load(spark, tmp_path, "p.csv", 'a,b\n"one\ntwo",1\n"say ""x""",2\n', program) == {("one\ntwo", 1), ('say "x"', 2)}
+    assert load(spark, tmp_path, "p.csv", 'a,b\n"x,y",1\nz,2\n', program) == {("x,y", 1), ("z", 2)}
+    (tmp_path / "p.csv").write_text("x,1\ny,2\n")
+    assert {tuple(r) for r in Session(spark, str(tmp_path), csv_header=False).run(program)["default"].collect()} == {("x", 1), ("y", 2)}
+
+
+def test_pages_of_further_formats(spark, tmp_path):
+    """JSON lines, Parquet and diagrams over HTTP."""
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    spark.sql("SELECT 1L AS a, 'x' AS b").coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "t.parquet")
+    (tmp_path / "t.jsonl").write_text('{"a": 1, "b": "x"}\n')
+    (tmp_path / "t.mmd").write_text("graph TD\n p --> q\n")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/t"
+        for kind in ("parquet", "jsonl"):
+            assert {tuple(r) for r in Session(spark).bind("p", f"{url}.{kind}").run("input predicate p(a: integer, b: string). ?- p(X, Y).")["default"].collect()} == {(1, "x")}
+        assert {tuple(r) for r in Session(spark).bind("p", f"{url}.mmd").run("input predicate p(a: string, b: string). ?- p(X, Y).")["default"].collect()} == {("p", "q")}
+    finally:
+        server.shutdown()
+
+
 @pytest.mark.parametrize("cell", ["007", "1.5", "x", "9007199254740992", ""])
 def test_csv_refuses(spark, tmp_path, cell):
     with pytest.raises(PySparkException):
