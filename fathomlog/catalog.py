@@ -96,6 +96,12 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
         "default",
         "SELECT r.conv_id AS \"C\", r.turn AS \"T\", max(u.turn) AS \"U\" FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') r JOIN conversations u ON u.conv_id = r.conv_id AND u.role = 'user' AND u.turn <= r.turn GROUP BY 1, 2",
     ),
+    "asof_latest": (
+        TURNS + 'user(C, T) :- conversations(C, T, "user").\nreply(C, T) :- conversations(C, T, "assistant").\nlast(C, T, max(U)) :- reply(C, T), user(C, U), U <= T.\n?- last(C, T, U).',
+        "default",
+        "SELECT r.conv_id AS \"C\", r.turn AS \"T\", max(u.turn) AS \"U\" FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') r JOIN conversations u ON u.conv_id = r.conv_id AND u.role = 'user' AND u.turn <= r.turn GROUP BY 1, 2",
+    ),
+    "rank_of_all": (ORDERS + "rank(O, count(*)) :- orders(O, _, _, T, _, _), orders(_, _, _, U, _, _), U >= T.\n?- rank(O, R).", "default", 'SELECT o_orderkey AS "O", CAST(count(*) OVER (ORDER BY o_totalprice DESC RANGE UNBOUNDED PRECEDING) AS BIGINT) AS "R" FROM orders'),
     "group_count": (CUSTOMER + "output predicate per_nation(N, count(*)) :- customer(_, _, N, _, _).", "per_nation", 'SELECT CAST(c_nationkey AS BIGINT) AS "N", count(*) AS "count" FROM customer GROUP BY 1'),
     "group_sum": (LINE + "output predicate total(F, S, round(sum(Q), 2), round(sum(P * (1.0 - D)), 2)) :- lineitem(_, _, _, _, Q, P, D, F, S, _).", "total", 'SELECT l_returnflag AS "F", l_linestatus AS "S", round(sum(l_quantity), 2) AS "col3", round(sum(l_extendedprice * (1 - l_discount)), 2) AS "col4" FROM lineitem GROUP BY 1, 2'),
     "group_avg": (ORDERS + "output predicate mean(S, round(avg(T), 2)) :- orders(_, _, S, T, _, _).", "mean", 'SELECT o_orderstatus AS "S", round(avg(o_totalprice), 2) AS "col2" FROM orders GROUP BY 1'),

@@ -69,6 +69,12 @@ def test_program(spark, name):
 
 
 AGGREGATES = {
+    "counts up to each row": ('a("x", 1). a("x", 3). a("y", 2). a("x", 5). output predicate g(K, T, count(*), min(U), max(U)) :- a(K, T), a(K, U), U <= T.', {("x", 1, 1, 1, 1), ("x", 3, 2, 1, 3), ("x", 5, 3, 1, 5), ("y", 2, 1, 2, 2)}),
+    "counts strictly behind": ('a("x", 1). a("x", 3). a("y", 2). output predicate g(K, T, count(*)) :- a(K, T), a(K, U), T < U.', {("x", 1, 1)}),
+    "counts of pairs": ('a("x", 1). a("x", 3). a("y", 3). a("y", 4). output predicate g(K, count(*)) :- a(K, T), a(_, U), U >= T.', {("x", 7), ("y", 4)}),
+    "ranks of all": ("a(5). a(3). a(9). a(4). output predicate g(X, count(*), max(Y)) :- a(X), a(Y), Y < X.", {(4, 1, 3), (5, 2, 4), (9, 3, 5)}),
+    "orderings over null": ("a(5). a(null). a(3). output predicate g(X, count(*)) :- a(X), a(Y), Y <= X.", {(3, 1), (5, 2)}),
+    "orderings of two relations": ('a(1, "p"). a(1, "q"). a(2, "p"). b(1, 0). b(1, 1). b(2, 9). output predicate g(K, "c", count(*)) :- a(K, _), b(K, U), U < K.', {(1, "c", 2)}),
     "groups": ('a("x", 1). a("x", 2). a("y", 5). output predicate g(G, count(*), sum(V), avg(V), min(V), max(V)) :- a(G, V).', {("x", 2, 3, 1.5, 1, 2), ("y", 1, 5, 5.0, 5, 5)}),
     "bindings are a bag": ('a("x", 1). a("y", 1). output predicate g(sum(V), count(*)) :- a(_, V).', {(2, 2)}),
     "lists put nulls first": ("a(2). a(null). a(1). output predicate g(list(X), count(X)) :- a(X).", {("[null,1,2]", 3)}),
