@@ -413,9 +413,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _crowded(entries: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """Entries (path, level, row, w) of nodes with several rows, and the node's size."""
     entries = ws.write(entries, f"{name}-all")
+    # Written before the join, so that the rows of a large node can be split.
     size = entries.groupBy("path").agg(F.sum("w").alias("size"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    size = ws.write(size, f"{name}-sizes")
     out = ws.write(entries.hint("merge").join(size, "path"), name)
-    ws.drop(f"{name}-all")
+    ws.drop(f"{name}-all", f"{name}-sizes")
     return out
 
 
@@ -450,6 +452,7 @@ def _mixed(nodes: DataFrame, comp: DataFrame, signs: DataFrame, ws: Workspace, s
         labelled = nodes.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row")).drop("component")
         counts = labelled.groupBy("path", "comp").agg(F.sum("w").alias("rows"))
         mixed = counts.groupBy("path").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        mixed = ws.write(mixed, f"comps{depth}")
         live = ws.write(labelled.hint("merge").join(mixed.select("path", "main", "most"), "path"), f"mixed{depth}")
         other = F.col("size") - F.col("most")
         small = live.where(F.col("size") <= sizes.small)
