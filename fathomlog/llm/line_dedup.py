@@ -222,8 +222,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = ws.write(listed, "listed")
     whole = listed.where("id is not null and (size(lines) > 1 or sizes[0] > 0)")
     first = ws.write(whole.groupBy("key").agg(F.min("id").alias("first")), "first")
-    owned = whole.hint("merge").join(first, "key").withColumn("copy", F.col("id") > F.col("first"))
-    unique = ws.write(owned.where("not copy").dropDuplicates(["id", "key"]).select("id", "key", "lines", "sizes"), "unique")
+    # By id, too, so that copies of one text lie in many tasks.
+    unique = whole.hint("merge").join(first.withColumnRenamed("first", "id"), ["key", "id"]).dropDuplicates(["id", "key"])
+    unique = ws.write(unique.select("id", "key", "lines", "sizes"), "unique")
     held = ws.write(unique.select("id", "key", "lines", "sizes").mapInArrow(_held(block), f"id {kind.simpleString()}, key string, run long"), "held")
     # Written before the join, so that the rows of a frequent run can be split.
     index = ws.write(held.groupBy("run").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("earliest")).where("df > 1"), "index")
