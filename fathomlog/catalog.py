@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import Session
+from .session import Incremental, Session
 from .storage import Store
 from .syntax import Input, parse
 
@@ -186,7 +186,11 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     "round_digits": (PART + "?- part(P, _, _, _, _, R), A = round(R, 1), B = round(P, -2), F = floor(R / 7.0), C = ceil(R / 7.0).", "default", 'SELECT p_partkey AS "P", p_retailprice AS "R", round(p_retailprice, 1) AS "A", CAST(floor(p_partkey / 100.0 + 0.5) * 100 AS BIGINT) AS "B", CAST(floor(p_retailprice / 7.0) AS BIGINT) AS "F", CAST(ceil(p_retailprice / 7.0) AS BIGINT) AS "C" FROM part'),
     "json_keys": (EVENTS + '?- events(E, _, _, _, _, P), V = parse_json(P), H = has_key(V, "k"), M = has_key(V, "m"), K = keys(V), W = values(V), J = to_json(V), N = length(V).', "default", f"""SELECT event_id AS "E", props AS "P", '{{"k":' || {K} || '}}' AS "V", true AS "H", false AS "M", '["k"]' AS "K", '[' || {K} || ']' AS "W", '{{"k":' || {K} || '}}' AS "J", CAST(1 AS BIGINT) AS "N" FROM events"""),
     "json_missing": (EVENTS + '?- events(E, _, _, _, _, P), V = parse_json(P), not defined(V["none"]), not defined(V[0]), not defined(as_string(V["k"])).', "default", f"""SELECT event_id AS "E", props AS "P", '{{"k":' || {K} || '}}' AS "V" FROM events"""),
-    "extractions": (CUSTOMER + 'rec(C, {"n": N, "b": B > 0.0, "f": B, "c": C}) :- customer(C, N, _, B, _).\n?- rec(C, V), S = as_string(V["n"]), T = as_boolean(V["b"]), F = as_float(V["f"]), I = as_integer(V["c"]).', "default", None),
+    "extractions": (
+        CUSTOMER + 'rec(C, {"n": N, "b": B > 0.0, "f": B, "c": C}) :- customer(C, N, _, B, _).\nout(C, S, T, F, I) :- rec(C, V), S = as_string(V["n"]), T = as_boolean(V["b"]), F = as_float(V["f"]), I = as_integer(V["c"]).\n?- out(C, S, T, F, I).',
+        "default",
+        'SELECT c_custkey AS "C", c_name AS "S", c_acctbal > 0 AS "T", c_acctbal AS "F", c_custkey AS "I" FROM customer',
+    ),
     "implicit_extraction": (NATION + 'rec({"key": K, "name": N}) :- nation(K, N, _).\nnext(P["key"] + 1, P["name"] + "!") :- rec(P).\n?- next(K, N).', "default", "SELECT CAST(n_nationkey + 1 AS BIGINT) AS \"K\", n_name || '!' AS \"N\" FROM nation"),
     "literal_keys": (NATION + '?- nation(K, _, _), V = {"bb": K, "a": 1, "bb": 2}.', "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"K\", '{\"a\":1,\"bb\":2}' AS \"V\" FROM nation"),
     "value_of_conditional": (NATION + '?- nation(K, _, R), V = K > 3 ? [K] : R.', "default", "SELECT CAST(n_nationkey AS BIGINT) AS \"K\", CAST(n_regionkey AS BIGINT) AS \"R\", CASE WHEN n_nationkey > 3 THEN '[' || n_nationkey || ']' ELSE CAST(n_regionkey AS VARCHAR) END AS \"V\" FROM nation"),
@@ -197,7 +201,11 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     "overflow_of": (ORDERS + "?- orders(O, _, _, _, _, _), X = 9007199254740000 + O.", "default", 'SELECT o_orderkey AS "O", 9007199254740000 + o_orderkey AS "X" FROM orders WHERE o_orderkey <= 991'),
     "facts_joined": (ORDERS + 'name("F", "filled"). name("O", "open").\n?- orders(O, _, S, _, _, _), name(S, N).', "default", "SELECT o_orderkey AS \"O\", o_orderstatus AS \"S\", CASE o_orderstatus WHEN 'F' THEN 'filled' ELSE 'open' END AS \"N\" FROM orders WHERE o_orderstatus IN ('F', 'O')"),
     "recursive_sum": (TURNS + TURN_EDGES + "run(C, 0, 1) :- conversations(C, 0, _).\nrun(C, Y, S + Y) :- run(C, X, S), e(C, X, Y).\n?- run(C, T, S).", "default", 'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, CAST(turn AS BIGINT) t, CAST(1 AS BIGINT) s FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn, r.s + v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT c AS "C", t AS "T", s AS "S" FROM r'),
-    "proof_patterns": (NATION + 'at(N) :: Home(R) :- nation(N, _, R), R < 2.\nat(N) :: Away :- nation(N, _, R), R >= 2.\n?- P : at(N), P = Home(R).', "default", None),
+    "proof_patterns": (
+        NATION + 'at(N) :: Home(R) :- nation(N, _, R), R < 2.\nat(N) :: Away :- nation(N, _, R), R >= 2.\nhome(N, R) :- P : at(N), P = Home(R).\n?- home(N, R).',
+        "default",
+        'SELECT CAST(n_nationkey AS BIGINT) AS "N", CAST(n_regionkey AS VARCHAR) AS "R" FROM nation WHERE n_regionkey < 2',
+    ),
     "proof_anti_join": (TURNS + TURN_EDGES + "path(C, X, Y) :: Step() :- e(C, X, Y).\npath(C, X, Z) :: Then(P) :- e(C, X, Y), P : path(C, Y, Z).\n?- conversations(C, T, _), not path(C, 0, T).", "default", 'WITH RECURSIVE r AS (SELECT DISTINCT conv_id c, turn t FROM conversations WHERE turn = 0 UNION SELECT r.c, v.turn FROM r JOIN conversations v ON v.conv_id = r.c AND v.turn = r.t + 1) SELECT DISTINCT conv_id AS "C", turn AS "T" FROM conversations v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.c = v.conv_id AND r.t = v.turn AND r.t > 0)'),
     "aliases": ('type Key = integer.\ntype Row = {key: Key, name: string}.\ninput predicate nation(n_nationkey: Key, n_name: string, n_regionkey: integer).\nrow({"key": K, "name": N}: Row) :- nation(K, N, _).\n?- row(R), K = R["key"] + 0.', "default", "SELECT '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS \"R\", CAST(n_nationkey AS BIGINT) AS \"K\" FROM nation"),
     "annotations": (NATION + "k(N: float) :- nation(N, _, _).\nk(R: integer?) :- nation(_, _, R).\n?- k(X).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "X" FROM nation UNION SELECT n_regionkey FROM nation'),
@@ -242,6 +250,69 @@ SOURCES: dict[str, tuple[str, str, str, str]] = {
 }
 
 
+def two_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two instances of one module, by named export and by its query, whose wired inputs differ."""
+    program = TURNS + TURN_EDGES + 'back(C, Y, X) :- e(C, X, Y).\n'
+    program += 'input predicate t(c: integer, x: integer, y: integer) := tc from "reach.dl"(edge = e).\ninput predicate u(c: integer, x: integer, y: integer) := from "reach.dl"(edge = back).\n?- t(C, X, Y), u(C, Y, X).'
+    session = Session(spark, resolve=MODULES.__getitem__)
+    session.bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return session.run(program)["default"]
+
+
+def directory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input that nothing binds: a folder holds a file of its name."""
+    root = Store(spark).root
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(f"{root}/supplier.csv", header=True, escape='"')
+    return Session(spark, root).run(SUPPLIER + "?- supplier(S, N, K, B).")["default"]
+
+
+def bound_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path and a format that the program itself names; the file begins with data."""
+    path = f"{Store(spark).root}/rows"
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(path, escape='"')
+    return Session(spark, csv_header=False).run(f'input predicate supplier(a: integer, b: string, c: integer, d: float) := "{path}" as csv.\n?- supplier(S, N, K, B).')["default"]
+
+
+def structural_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose declared shape is checked, and whose fields are then typed."""
+    path = f"{Store(spark).root}/rec.jsonl"
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).write.json(path)
+    return Session(spark).bind("rec", path, "jsonl").run('input predicate rec(r: {key: integer, name: string, age?: integer}).\nout(R["key"] + 1, R["name"] + "!") :- rec(R).\n?- out(K, N).')["default"]
+
+
+def iteration_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursion cut off after two rounds: what was derived up to there."""
+    session = Session(spark, max_iterations=2).bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return session.run(PROGRAMS["tc_linear"][0])["default"]
+
+
+def round_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each round of a recursion adds."""
+    events: list[dict] = []
+    session = Session(spark, trace=events.append).bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    session.run(PROGRAMS["tc_linear"][0])
+    rows = [(e["round"], n) for e in events for n in e["new"].values() if n]
+    return spark.createDataFrame(rows, "round long, rows long")
+
+
+def growing_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that grows by chunks: inputs and edges first, then the closure, then a query."""
+    session = Session(spark).bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    growing = Incremental(session)
+    growing.add(TURNS + TURN_EDGES)
+    growing.add("tc(C, X, Y) :- e(C, X, Y).\ntc(C, X, Z) :- tc(C, X, Y), e(C, Y, Z).")
+    return growing.add("?- tc(C, X, Y).")["default"]
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that break a constraint, in place of the error that ``run`` raises."""
+    program = CUSTOMER + "!- customer(C, _, _, B, _), B < 0.0."
+    session = Session(spark).bind("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    core = session.compile(program)
+    session._run(core, check=False)
+    return session.violations(core, core.constraints[0])
+
+
 JSON_SQL = 'SELECT CAST(n_nationkey AS BIGINT) AS "K", n_name AS "N" FROM nation'
 MERMAID_SQL = "SELECT 'r' || n_regionkey AS \"R\", 'n' || n_nationkey AS \"N\", n_name AS \"L\" FROM nation"
 
@@ -264,13 +335,31 @@ def mermaid_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Session(spark).bind("nation", path, "mmd").run("input predicate nation(a: string, b: string, l: string).\n?- nation(R, N, L).")["default"]
 
 
+SUPPLIER_SQL = 'SELECT s_suppkey AS "S", s_name AS "N", CAST(s_nationkey AS BIGINT) AS "K", s_acctbal AS "B" FROM supplier'
+_STEPS = "WITH RECURSIVE e AS (SELECT DISTINCT a.conv_id c, a.turn x, b.turn y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), tc AS (SELECT c, x, y, 1 n FROM e UNION SELECT tc.c, tc.x, e.y, n + 1 FROM tc JOIN e ON tc.c = e.c AND tc.y = e.x) "
+#: name -> (function, SQL)
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "modules": (modules, TURN_CLOSURE),
+    "two_modules": (two_modules, TURN_CLOSURE),
+    "directory_source": (directory_source, SUPPLIER_SQL),
+    "bound_source": (bound_source, SUPPLIER_SQL),
+    "structural_input": (structural_input, "SELECT c_custkey + 1 AS \"K\", c_name || '!' AS \"N\" FROM customer"),
+    "iteration_cap": (iteration_cap, _STEPS + 'SELECT c AS "C", x AS "X", y AS "Y" FROM tc WHERE n <= 3'),
+    "round_trace": (round_trace, _STEPS + "SELECT CAST(n - 1 AS BIGINT) AS round, count(*) AS rows FROM tc GROUP BY n"),
+    "growing_program": (growing_program, TURN_CLOSURE),
+    "json_source": (json_source, JSON_SQL),
+    "mermaid_source": (mermaid_source, MERMAID_SQL),
+    "violations": (violations, 'SELECT c_custkey AS "C", c_acctbal AS "B" FROM customer WHERE c_acctbal < 0'),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: partial(run, program, label) for name, (program, label, _) in PROGRAMS.items()}
     found |= {name: partial(_through, fmt, program, table) for name, (fmt, program, table, _) in SOURCES.items()}
-    return found | {"modules": modules, "json_source": json_source, "mermaid_source": mermaid_source}
+    return found | {name: query for name, (query, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: sql for name, (_, _, sql) in PROGRAMS.items() if sql is not None}
     found |= {name: sql for name, (_, _, _, sql) in SOURCES.items()}
-    return found | {"modules": TURN_CLOSURE, "json_source": JSON_SQL, "mermaid_source": MERMAID_SQL}
+    return found | {name: sql for name, (_, sql) in OTHERS.items()}
