@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .formats import FORMATS
+from .plans.obligations import verify
 from .session import ConstraintError, Incremental, Session
 from .syntax import ProgramError
 
@@ -49,6 +50,9 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--explain", metavar="PREDICATE")
     args.add_argument("--dry-run", action="store_true", help="analyse only, and print warnings")
     args.add_argument("--obligations", action="store_true", help="print SMT-LIB texts of the constraints")
+    args.add_argument("--verify", action="store_true", help="have a solver prove the refinements")
+    args.add_argument("--solver", default="z3 -in", help="reads SMT-LIB from its standard input")
+    args.add_argument("--strict-contracts", action="store_true", help="warnings of contracts are errors")
     args.add_argument("--trace", action="store_true")
     args.add_argument("--warn-undefined", action="store_true", help="also warn of expressions that may have no value")
     args.add_argument("--no-csv-header", action="store_true", help="CSV files begin with data")
@@ -74,6 +78,12 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         for line in session.advice(source, given.warn_undefined):
             print(f"warning: {line}", file=sys.stderr)
+            if given.strict_contracts and line.startswith(("inert-contract", "constant-refinement")):
+                return 1
+        if given.verify:
+            told = verify(session.obligations(source), given.solver)
+            print("\n".join(f"{name}: {what}" for name, what in told.items()))
+            return int(any(what != "proved" for what in told.values()))
         if given.obligations:
             print("\n".join(f"; {name}\n{text}" for name, text in session.obligations(source).items()))
         if given.dry_run or given.obligations:

@@ -1,10 +1,14 @@
 """Formats, advice, obligations, command line and notebook cells."""
 
+import pytest
+
 from fathomlog import formats
 from fathomlog.cli import main
 from fathomlog.functions.values import canonical, js_number
 from fathomlog.magic import Cells
+from fathomlog.plans.obligations import verify
 from fathomlog.session import Session
+from fathomlog.syntax import ProgramError
 
 
 def test_numbers_print_as_in_scripts():
@@ -38,6 +42,20 @@ def test_obligations(spark):
     assert len(texts) == 1 and "(assert (> |X| 7))" in next(iter(texts.values()))
 
 
+def test_contract_obligations(spark):
+    """One text for each refinement of each rule; contracts of what is read are hypotheses; a solver tells."""
+    program = "s(1, 0 as P, 1 as C, _: 0 <= P, _: P <= C). s(I + 1, C, P + C as N, _: 0 <= C, _: C <= N) :- s(I, P, C), I < 9. f(X / 2.0 as H, _: H > 0.0) :- s(X, _, _). ?- s(I, _, C), f(_)."
+    texts = Session(spark).obligations(program)
+    assert sorted(texts) == ["s, rule 1, refinement 1", "s, rule 1, refinement 2", "s, rule 2, refinement 1", "s, rule 2, refinement 2"]
+    last = texts["s, rule 2, refinement 2"]
+    assert "(assert (or (and (<= 0 |P|) (<= |P| |C|)) (and (<= 0 |P|) (<= |P| |C|))))" in last and "(assert (not (<= |C| (+ |P| |C|))))" in last and "(assert (< |I| 9))" in last
+    assert set(verify(texts, "echo unsat").values()) == {"proved"} and set(verify(texts, "echo sat").values()) == {"FAILED"}
+    with pytest.raises(ProgramError):
+        verify(texts, "no-such-solver")
+    halved = Session(spark).obligations("p(-7). q(X / 2 as H, _: H >= -3) :- p(X). ?- q(X).")
+    assert "(ite (>= |X| 0) (div |X| 2) (- (div (- |X|) 2)))" in halved["q, rule 1, refinement 1"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "e.csv").write_text("a,b\n1,2\n2,3\n")
     program = tmp_path / "p.dl"
@@ -46,6 +64,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "X\n2\n3\n"
     program.write_text("p(1). !- p(X). ?- p(X).")
     assert main([str(program)]) == 1
+    program.write_text("p(1). q(X, _: 0 <= 0) :- p(X). ?- q(X).")
+    assert main([str(program), "--strict-contracts"]) == 1
+    assert main([str(program), "--verify", "--solver", "echo unsat"]) == 0
+    assert main([str(program), "--input", "e=a.csv", "--input", "e=b.csv"]) == 1
+    capsys.readouterr()
     program.write_text("p(1). ?- p(1).")
     assert main([str(program)]) == 0 and capsys.readouterr().out == "yes\n"
 
