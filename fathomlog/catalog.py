@@ -291,7 +291,7 @@ def round_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     events: list[dict] = []
     session = Session(spark, trace=events.append).bind("conversations", spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     session.run(PROGRAMS["tc_linear"][0])
-    rows = [(e["round"], n) for e in events for n in e["new"].values() if n]
+    rows = [(e["round"], n) for e in events if e["kind"] == "round" for n in e["new"].values() if n]
     return spark.createDataFrame(rows, "round long, rows long")
 
 

@@ -122,6 +122,11 @@ class Engine:
         self.store = Store(spark)
         self.capped: list[str] = []
 
+    def _tell(self, kind: str, **about) -> None:
+        """stratum: one begins; rule: rows that one derived in a round, repeats among them; round: new rows."""
+        if self.trace:
+            self.trace({"kind": kind, **about})
+
     def read(self, atom: Atom, index: int | None) -> Relation | None:
         return self.relations[atom.pred]
 
@@ -136,6 +141,7 @@ class Engine:
         for part in strata(self.core):
             if needed is not None and not needed & set(part):
                 continue
+            self._tell("stratum", stratum=part, recursive=is_recursive(self.core, part))
             if not is_recursive(self.core, part):
                 found = self._union(part[0], self.core.rules[part[0]], self.read)
                 if reads.get(part[0], 0) > 1 and self._shuffles(part[0]):
@@ -221,7 +227,7 @@ class Engine:
         while True:
             live = {p for p in part if not delta[p].isEmpty()}
             if self.trace:
-                self.trace({"stratum": part, "round": step, "new": {p: delta[p].count() for p in part}})
+                self._tell("round", stratum=part, round=step, new={p: delta[p].count() for p in part})
             if not live:
                 break
             if self.max_iterations is not None and step >= self.max_iterations:
@@ -231,7 +237,7 @@ class Engine:
             fresh: dict[str, DataFrame] = {}
             for p in part:
                 made = []
-                for r in self.core.rules[p]:
+                for number, r in enumerate(self.core.rules[p]):
                     spots = [k for k, a in enumerate(r.body) if isinstance(a, Atom) and not a.negated and a.pred in live]
                     for k in spots:
 
@@ -241,6 +247,8 @@ class Engine:
                             return outside(atom, index)
 
                         made.append(self._rows(r, read, k)[0])
+                        if self.trace:
+                            self._tell("rule", stratum=part, round=step, predicate=p, rule=number, derived=made[-1].count())
                 if made:
                     rows = table(made)
                     fresh[p] = self.store.keep(self._new(rows, table(whole[p]), self.sig[p]))
@@ -276,8 +284,7 @@ class Engine:
             if upper is not None and all(self._equal(now[p], upper[p]) for p in high):
                 return
             upper = now
-            if self.trace:
-                self.trace({"stratum": part, "alternation": step})
+            self._tell("alternation", stratum=part, alternation=step)
         self.capped += part
 
     def _group(self, preds: list[str], outside) -> None:

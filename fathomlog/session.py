@@ -65,7 +65,7 @@ class Session:
     """Runs programs. ``directory`` holds files ``<predicate>.<extension>`` for unbound inputs.
 
     ``max_iterations`` limits the rounds of a recursion (none by default); what was derived up to there is kept
-    and the predicates are named in ``Result.capped``. ``trace`` gets a dict for each round.
+    and the predicates are named in ``Result.capped``. ``trace`` gets a dict for each stratum, round and rule.
     ``csv_header`` says whether the first row of CSV files names the columns.
     """
 

@@ -141,6 +141,14 @@ def test_iteration_limit(spark):
     assert r.capped == ["n"] and {x[0] for x in r["default"].collect()} == {0, 1, 2, 3}
 
 
+def test_trace(spark):
+    events = []
+    Session(spark, trace=events.append).run("e(1, 2). e(2, 3). t(X, Y) :- e(X, Y). t(X, Z) :- t(X, Y), e(Y, Z). ?- t(X, Y).")
+    assert [(e["stratum"], e["recursive"]) for e in events if e["kind"] == "stratum"] == [(["e"], False), (["t"], True)]
+    assert [(e["round"], e["new"]) for e in events if e["kind"] == "round"] == [(0, {"t": 2}), (1, {"t": 1}), (2, {"t": 0})]
+    assert [(e["round"], e["predicate"], e["rule"], e["derived"]) for e in events if e["kind"] == "rule"] == [(1, "t", 1, 1), (2, "t", 1, 0)]
+
+
 def test_modules(spark):
     files = {"reach.dl": "input predicate edge(a: integer, b: integer). tc(X, Y) :- edge(X, Y). tc(X, Z) :- tc(X, Y), edge(Y, Z). ?- tc(X, Y).", "two.dl": "p(1). ?- p(X)."}
     program = 'a(1, 2). a(2, 3). b(7, 8). input predicate t(x: integer, y: integer) := from "reach.dl"(edge = a). input predicate u(x: integer, y: integer) := tc from "reach.dl"(edge = b). ?- t(X, Y), not u(X, Y).'
