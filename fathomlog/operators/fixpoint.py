@@ -210,6 +210,7 @@ class Engine:
         """Each round fires a rule once for every recursive atom, that atom reading the last delta."""
         whole: dict[str, list[DataFrame]] = {}
         delta: dict[str, DataFrame] = {}
+        rows_of: dict[str, int] = {}
         inside = set(part)
 
         def table(dfs: list[DataFrame]) -> DataFrame:
@@ -221,20 +222,19 @@ class Engine:
         for p in part:
             base = [r for r in self.core.rules[p] if not any(isinstance(a, Atom) and not a.negated and a.pred in inside for a in r.body)]
             rows = self._union(p, base, outside).df if base else empty(self.spark, self.sig[p])
-            delta[p] = self.store.keep(rows)
+            delta[p], rows_of[p] = self.store.counted(rows)
             whole[p] = [delta[p]]
         step = 0
         while True:
-            live = {p for p in part if not delta[p].isEmpty()}
-            if self.trace:
-                self._tell("round", stratum=part, round=step, new={p: delta[p].count() for p in part})
+            live = {p for p in part if rows_of[p]}
+            self._tell("round", stratum=part, round=step, new=dict(rows_of))
             if not live:
                 break
             if self.max_iterations is not None and step >= self.max_iterations:
                 self.capped += part
                 break
             step += 1
-            fresh: dict[str, DataFrame] = {}
+            fresh: dict[str, tuple[DataFrame, int]] = {}
             for p in part:
                 made = []
                 for number, r in enumerate(self.core.rules[p]):
@@ -251,13 +251,13 @@ class Engine:
                             self._tell("rule", stratum=part, round=step, predicate=p, rule=number, derived=made[-1].count())
                 if made:
                     rows = table(made)
-                    fresh[p] = self.store.keep(self._new(rows, table(whole[p]), self.sig[p]))
+                    fresh[p] = self.store.counted(self._new(rows, table(whole[p]), self.sig[p]))
                 else:
-                    fresh[p] = empty(self.spark, self.sig[p])
+                    fresh[p] = empty(self.spark, self.sig[p]), 0
             for p in part:
-                delta[p] = fresh[p]
-                if p in live or not fresh[p].isEmpty():
-                    whole[p].append(fresh[p])
+                delta[p], rows_of[p] = fresh[p]
+                if rows_of[p]:
+                    whole[p].append(delta[p])
                 if len(whole[p]) > 8:  # few, larger tables plan and scan faster
                     whole[p] = [self.store.keep(table(whole[p]))]
         for p in part:
