@@ -91,12 +91,12 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     "rank_count": (NATION + "rank(A, count(*)) :- nation(A, NA, _), nation(_, NB, _), NB <= NA.\n?- rank(N, R).", "default", 'SELECT CAST(n_nationkey AS BIGINT) AS "N", rank() OVER (ORDER BY n_name) AS "R" FROM nation'),
     "top_one": (CUSTOMER + "best(N, max(B)) :- customer(_, _, N, B, _).\n?- best(N, B), customer(C, _, N, B, _).", "default", 'SELECT CAST(c_nationkey AS BIGINT) AS "N", c_acctbal AS "B", c_custkey AS "C" FROM customer QUALIFY c_acctbal = max(c_acctbal) OVER (PARTITION BY c_nationkey)'),
     "running_total": (TURNS + "upto(C, T, count(*)) :- conversations(C, T, _), conversations(C, U, _), U <= T.\n?- upto(C, T, N).", "default", 'SELECT DISTINCT conv_id AS "C", turn AS "T", CAST(count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS "N" FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)'),
-    "asof_join": (
+    "asof_by_negation": (
         TURNS + 'user(C, T) :- conversations(C, T, "user").\nreply(C, T) :- conversations(C, T, "assistant").\nlater(C, T, U) :- reply(C, T), user(C, U), user(C, V), U < V, V <= T.\n?- reply(C, T), user(C, U), U <= T, not later(C, T, U).',
         "default",
         "SELECT r.conv_id AS \"C\", r.turn AS \"T\", max(u.turn) AS \"U\" FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') r JOIN conversations u ON u.conv_id = r.conv_id AND u.role = 'user' AND u.turn <= r.turn GROUP BY 1, 2",
     ),
-    "asof_latest": (
+    "asof_join": (
         TURNS + 'user(C, T) :- conversations(C, T, "user").\nreply(C, T) :- conversations(C, T, "assistant").\nlast(C, T, max(U)) :- reply(C, T), user(C, U), U <= T.\n?- last(C, T, U).',
         "default",
         "SELECT r.conv_id AS \"C\", r.turn AS \"T\", max(u.turn) AS \"U\" FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant') r JOIN conversations u ON u.conv_id = r.conv_id AND u.role = 'user' AND u.turn <= r.turn GROUP BY 1, 2",
@@ -176,7 +176,7 @@ PROGRAMS: dict[str, tuple[str, str, str | None]] = {
     ),
     # One query or more for each function and for what has no place above.
     "count_expr": (ORDERS + "output predicate n(S, count(1000 / (O % 5)), count(*)) :- orders(O, _, S, _, _, _).", "n", 'SELECT o_orderstatus AS "S", count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS "count", count(*) AS "count_" FROM orders GROUP BY 1'),
-    "connectives": (ORDERS + '?- orders(O, C, S, T, _, _), T > 200000.0 && S = "F" || !(C > 10) && S <> "O".', "default", "SELECT o_orderkey AS \"O\", o_custkey AS \"C\", o_orderstatus AS \"S\", o_totalprice AS \"T\" FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' OR NOT (o_custkey > 10) AND o_orderstatus <> 'O'"),
+    "connectives": (ORDERS + '?- orders(O, C, S, T, _, _), T > 200000.0 && S = "F" || !(T > 1000.0) && S <> "O".', "default", "SELECT o_orderkey AS \"O\", o_custkey AS \"C\", o_orderstatus AS \"S\", o_totalprice AS \"T\" FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F' OR NOT (o_totalprice > 1000) AND o_orderstatus <> 'O'"),
     "guarded_or": (ORDERS + "?- orders(O, _, _, _, _, _), (O % 3 = 0) || (100 / (O % 3) = 50).", "default", 'SELECT o_orderkey AS "O" FROM orders WHERE o_orderkey % 3 <> 1'),
     "unary_minus": (SUPPLIER + "?- supplier(S, _, N, B), M = -N, F = -B.", "default", 'SELECT s_suppkey AS "S", CAST(s_nationkey AS BIGINT) AS "N", s_acctbal AS "B", -CAST(s_nationkey AS BIGINT) AS "M", -s_acctbal AS "F" FROM supplier'),
     "abs_of": (SUPPLIER + "?- supplier(S, _, _, B), A = abs(B), I = abs(3 - S).", "default", 'SELECT s_suppkey AS "S", s_acctbal AS "B", abs(s_acctbal) AS "A", abs(3 - s_suppkey) AS "I" FROM supplier'),

@@ -215,6 +215,21 @@ def _elements(text: str) -> list:
     return [{"k": k, "v": dump(v)} for k, v in enumerate(x)] if isinstance(x, list) else []
 
 
+def _row(names: tuple, text: str) -> list | None:
+    try:
+        x = load(text)
+    except (ValueError, RecursionError):
+        return None
+    if isinstance(x, list):
+        return [dump(y) for y in x] if len(x) == len(names) else [None] * len(names)
+    return [dump(x[n]) if isinstance(x, dict) and n in x else None for n in names]
+
+
+def row(names: list[str]) -> Callable[[Column], Column]:
+    """Cells of a JSON text: a record's by name, an array's by place if it has as many; null if malformed."""
+    return _udf("array<string>", partial(_row, tuple(names)))
+
+
 parse = _udf("string", canonical)
 at = _udf("string", _at)
 cut = _udf("string", _cut)

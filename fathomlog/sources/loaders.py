@@ -130,18 +130,14 @@ def _typed_json(text: SparkColumn, c: Column, name: str) -> SparkColumn:
 
 def jsonl(spark: SparkSession, path: str, decl: Input) -> DataFrame:
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line")).where(F.trim("line") != "")
-    parsed = V.parse(F.col("line"))
-    rows = lines.select(_must(parsed.isNotNull(), parsed, f"{decl.name}: malformed line", F.col("line")).alias("row"))
     only = decl.columns[0]
     if len(decl.columns) == 1 and declared(only.type).base == "value":
-        return rows.select(contract(F.col("row"), only, decl.name).alias("c0"))
-    is_array = F.substring("row", 1, 1) == "["
-    size = V.size(F.col("row"))
-    picked = []
-    for k, c in enumerate(decl.columns):
-        text = F.when(is_array, F.when(size == len(decl.columns), V.at(F.col("row"), F.lit(k)))).otherwise(V.at(F.col("row"), F.lit(c.name)))
-        picked.append(_typed_json(text, c, decl.name).alias(f"c{k}"))
-    return rows.select(*picked)
+        parsed = V.parse(F.col("line"))
+        return lines.select(contract(_must(parsed.isNotNull(), parsed, f"{decl.name}: malformed line", F.col("line")), only, decl.name).alias("c0"))
+    # One step parses the line; a generator keeps it from being done again for each column.
+    cells = lines.select("line", F.explode(F.array(V.row([c.name for c in decl.columns])(F.col("line")))).alias("cells"))
+    whole = _must(F.col("cells").isNotNull(), F.col("cells"), f"{decl.name}: malformed line", F.col("line"))
+    return cells.select(*(_typed_json(whole[k], c, decl.name).alias(f"c{k}") for k, c in enumerate(decl.columns)))
 
 
 def document(spark: SparkSession, texts: DataFrame, decl: Input) -> DataFrame:
