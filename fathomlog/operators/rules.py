@@ -19,7 +19,7 @@ from fathomlog.plans.inference import body_env, head_env
 from fathomlog.plans.typing import Type, Typed, Typer, Unknown, convert, same, spark_type
 from fathomlog.syntax import Agg, Atom, Bin, Eq, Filter, Lit, ProgramError, Range, Rule, Var, variables
 
-from .running import Shape, running, shape
+from .running import meeting, met, running, shape
 
 MARK = "m"
 #: Numbers that a range puts into one array at most.
@@ -394,7 +394,10 @@ def rule_rows(spark: SparkSession, rule: Rule, sig: dict[str, list[Type]], relat
     bag = any(isinstance(a, Agg) for a in _aggs(exprs))
     found = shape(rule, _aggs(exprs), sig) if bag and first is None else None
     if found is not None and all(t.expr.name in set(variables(found.rows.args)) for t in rule.terms if isinstance(t.expr, Var)):
-        return _running_rows(spark, rule, found, sig, relation), True
+        return _summed_rows(rule, sig, lambda aggs, names: running(spark, found, aggs, names, relation)), True
+    atoms = meeting(rule, _aggs(exprs), sig) if bag and first is None else None
+    if atoms is not None:
+        return _summed_rows(rule, sig, lambda aggs, names: met(atoms, aggs, names, sig, relation)), True
     body = Body(spark, rule.body, sig, relation, set(variables(exprs)), bag, first)
     df = body.build()
     cols = body._cols()
@@ -426,11 +429,11 @@ def rule_rows(spark: SparkSession, rule: Rule, sig: dict[str, list[Type]], relat
     return df, bool(aggs)  # every group key is in the head
 
 
-def _running_rows(spark: SparkSession, rule: Rule, found: Shape, sig: dict[str, list[Type]], relation) -> DataFrame:
-    """Rows of a rule that sums up to each row, as ``rule_rows`` gives them."""
+def _summed_rows(rule: Rule, sig: dict[str, list[Type]], groups) -> DataFrame:
+    """Rows of a rule whose groups ``groups(aggregates, variables of the head)`` gives, as ``rule_rows`` does."""
     exprs, head, aggs = head_env([t.expr for t in rule.terms], Typer(body_env(rule.body, sig)))
     names = [v for v in variables(exprs) if not v.startswith("$agg")]
-    df = running(spark, found, aggs, names, relation)
+    df = groups(aggs, names)
     cols = {v: F.col(f"g{k}") for k, v in enumerate(names)} | {f"$agg{k}": F.col(f"agg{k}") for k in range(len(aggs))}
     typed = [head.of(e) for e in exprs]
     return df.select(*(convert(t.make(cols), Type(t.type.base, False, t.type.shape) if t.partial else t.type, want.base).alias(f"c{k}") for k, (t, want) in enumerate(zip(typed, sig[rule.pred], strict=True))))

@@ -2,10 +2,14 @@
 
     upto(C, T, count(*)) :- turn(C, T), turn(C, U), U <= T.
 
-Such a join has a row for each pair. Here both atoms are read once, sorted by the compared
-columns within the variables that they share, and summed up on the way: a window. Without a
-shared variable the rows are sorted over range partitions, each of which begins with what the
-ones before it sum up to, so no task gets all rows.
+    same(N, count(*)) :- a(X, N), b(Y, N).
+
+Such a join has a row for each pair. In the second form both atoms are first grouped by what
+the head and the other atom need of them, and the sizes of groups are multiplied. In the first
+both are read once, sorted by the compared columns within the variables that they share, and
+summed up on the way: a window. Without a shared variable the rows are sorted over range
+partitions, each of which begins with what the ones before it sum up to, so no task gets all
+rows.
 """
 
 from __future__ import annotations
@@ -69,6 +73,42 @@ def _parts(e):
             yield from _parts(getattr(e, f))
 
 
+def meeting(rule: Rule, aggs: list[Agg], sig: dict) -> tuple[Atom, Atom] | None:
+    """The two atoms of a rule that only counts how often their rows meet, if they can be grouped first."""
+    if len(rule.body) != 2 or not all(isinstance(a, Atom) and not a.negated and (a.pred in sig or a.pred not in ITERATORS) for a in rule.body):
+        return None
+    if not aggs or any(a.func != "count" or a.arg is not None for a in aggs) or not all(isinstance(t.expr, Agg | Lit | Var) for t in rule.terms):
+        return None
+    names = [[x.name for x in a.args if isinstance(x, Var)] for a in rule.body]
+    if any(len(n) < len(a.args) or len(set(n)) < len(n) for n, a in zip(names, rule.body, strict=True)):
+        return None
+    head = set(variables([t.expr for t in rule.terms]))
+    shared = [v for v in names[0] if v in names[1]]
+    kinds = [{sig[a.pred][n.index(v)].base for a, n in zip(rule.body, names, strict=True)} for v in shared]
+    # Grouping pays where both atoms have columns that nothing needs.
+    spare = all(set(n) - head - set(shared) for n in names)
+    return tuple(rule.body) if shared and spare and all(len(k) == 1 for k in kinds) else None
+
+
+def met(atoms: tuple[Atom, Atom], aggs: list[Agg], head: list[str], sig: dict, relation) -> DataFrame:
+    """Columns g0, g1, ... of the head's variables and agg0, agg1, ..., one row for each group."""
+    sides = []
+    for k, a in enumerate(atoms):
+        place = {x.name: f"c{j}" for j, x in enumerate(a.args)}
+        needed = [v for v in place if v in head or v in {x.name for x in atoms[1 - k].args}]
+        grouped = relation(a, None).distinct().df.groupBy(*(F.col(place[v]).alias(f"s{k}_{v}") for v in needed)).agg(F.count(F.lit(1)).alias(f"m{k}"))
+        sides.append((grouped, needed, {v: sig[a.pred][list(place).index(v)] for v in needed}))
+    (one, mine, types), (two, theirs, others) = sides
+    test = F.lit(True)
+    for v in mine:
+        if v in theirs:
+            x, y = F.col(f"s0_{v}"), F.col(f"s1_{v}")
+            test = test & (x.eqNullSafe(y) if types[v].nullable and others[v].nullable and types[v].base != "value" else x == y)
+    joined = one.join(two, test)
+    groups = [F.col(f"s0_{v}" if v in mine else f"s1_{v}").alias(f"g{k}") for k, v in enumerate(head)]
+    return joined.groupBy(*groups).agg(*(F.sum(F.col("m0") * F.col("m1")).alias(f"agg{k}") for k in range(len(aggs)))) if groups else joined.agg(*(F.coalesce(F.sum(F.col("m0") * F.col("m1")), F.lit(0)).alias(f"agg{k}") for k in range(len(aggs))))
+
+
 def running(spark: SparkSession, s: Shape, aggs: list[Agg], head: list[str], relation) -> DataFrame:
     """Columns g0, g1, ... of the head's variables and agg0, agg1, ..., one row for each group."""
     one, two = (relation(a, None).distinct().df for a in (s.rows, s.others))

@@ -70,6 +70,10 @@ def test_program(spark, name):
 
 AGGREGATES = {
     "counts up to each row": ('a("x", 1). a("x", 3). a("y", 2). a("x", 5). output predicate g(K, T, count(*), min(U), max(U)) :- a(K, T), a(K, U), U <= T.', {("x", 1, 1, 1, 1), ("x", 3, 2, 1, 3), ("x", 5, 3, 1, 5), ("y", 2, 1, 2, 2)}),
+    "counts of meetings": ('a(1, "x"). a(2, "x"). a(3, "y"). b(7, "x"). b(8, "x"). b(9, "z"). output predicate g(N, count(*)) :- a(_, N), b(_, N).', {("x", 4)}),
+    "nulls meet": ("a(1, null). a(2, null). a(3, 5). output predicate g(N, count(*)) :- a(X, N), a(Y, N).", {(None, 4), (5, 1)}),
+    "no meetings at all": ('a(1, "x"). b(9, "z"). output predicate g(count(*)) :- a(_, N), b(_, N).', {(0,)}),
+    "all meetings": ('a(1, "x", 3). a(2, "x", 4). b(9, "x"). b(8, "x"). output predicate g(count(*), "all") :- a(_, N, _), b(_, N).', {(4, "all")}),
     "counts strictly behind": ('a("x", 1). a("x", 3). a("y", 2). output predicate g(K, T, count(*)) :- a(K, T), a(K, U), T < U.', {("x", 1, 1)}),
     "counts of pairs": ('a("x", 1). a("x", 3). a("y", 3). a("y", 4). output predicate g(K, count(*)) :- a(K, T), a(_, U), U >= T.', {("x", 7), ("y", 4)}),
     "ranks of all": ("a(5). a(3). a(9). a(4). output predicate g(X, count(*), max(Y)) :- a(X), a(Y), Y < X.", {(4, 1, 3), (5, 2, 4), (9, 3, 5)}),
