@@ -1,9 +1,10 @@
 """Substring dedup by looking up windows of words, against all earlier documents.
 
-This is not relative Lempel-Ziv parsing: no factor is computed and no greedy parse made. A
-window of ``window`` words that also stands in a document with a smaller id is duplicate, and
-all words of duplicate windows go. A greedy parse does not list all of these: its factors do
-not overlap, so a window that begins inside one factor and ends behind it can be missed.
+This is not a greedy relative Lempel-Ziv parse, which takes the longest match at each place
+and goes on behind it: its factors do not overlap, so a window that begins inside one factor
+and ends behind it can be missed. Here a window of ``window`` words that also stands in a
+document with a smaller id is duplicate, and all words of duplicate windows go; neighbouring
+windows that one earlier document holds make up a factor, and factors may overlap.
 Windows are grouped in content-defined blocks: of the word grams inside each window, the one
 with the smallest hash is its anchor, and neighbouring windows with one anchor form a block.
 Equal windows have equal anchors, so a block can share windows only with the blocks indexed
@@ -113,29 +114,42 @@ def _windows(window: int):
 
 
 def _remove(window: int):
-    """Words of the text that no listed window covers, joined by one space."""
+    """Words of the text that no listed window covers, joined by one space, and the factors that the windows make."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed = [], []
-            for text, spans in zip(batch.column(2), batch.column(3), strict=True):
+            kept, removed, factors = [], [], []
+            for text, spans in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 parts = text.as_py().encode().split()
                 edge = np.zeros(len(parts) + 1, np.int64)
-                for x in spans.as_py():
+                made: list[dict] = []
+                for x in sorted(spans, key=lambda x: x["start"]):
+                    end = x["start"] + x["n"] + window - 1
                     edge[x["start"]] += 1
-                    edge[x["start"] + x["n"] + window - 1] -= 1
+                    edge[end] -= 1
+                    last = made[-1] if made else None
+                    if last and last["first"] == x["first"] and last["start"] + last["n_words"] == x["start"] + window - 1:
+                        last["n_words"] += x["n"]
+                    else:
+                        made.append({"start": x["start"], "n_words": end - x["start"], "first": x["first"]})
                 stay = np.cumsum(edge[:-1]) == 0
                 kept.append(b" ".join([w for w, s in zip(parts, stay.tolist(), strict=True) if s]).decode())
                 removed.append(len(parts) - int(stay.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "text_key", "n_removed", "kept_text"])
+                factors.append(made)
+            columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("first", batch.schema.field(0).type)]))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(factors, kind)], ["id", "text_key", "n_removed", "kept_text", "factors"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id_col, text_key, n_words, words_sha256, n_removed, kept_text.
+    """One row per row of ``docs``: id_col, text_key, n_words, words_sha256, n_removed, kept_text, factors.
 
-    kept_text is null where nothing is removed; words_sha256 then digests the words joined by
+    factors (start and n_words in words, first) are passages all of whose windows first holds, a
+    document with a smaller id: the earliest with an equal block, or for single windows the
+    earliest of all. They may overlap by less than a window, are as long as first stays the
+    same, and cover what is removed. They and kept_text are null where nothing is removed; words_sha256 then digests the words joined by
     one space. A null text has no words. Texts of fewer than ``window`` words keep them all.
     Windows are judged on the input, against documents with strictly smaller ids, so rows
     that repeat an id are not compared with each other. Rows without an id are kept whole and
@@ -155,16 +169,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     mixed = ws.write(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("anchor"), "mixed")
     placed = ws.write(runs.hint("merge").join(index, entry), "placed")
     ws.drop("shared", "runs", "index")
-    inside = placed.where(F.col("id") > F.col("first")).select("id", "text_key", "start", "n")
+    inside = placed.where(F.col("id") > F.col("first")).select("id", "text_key", "start", "n", "first")
     border = placed.where(F.col("id") == F.col("first")).hint("merge").join(mixed, "anchor")
     border = border.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spans"))
     single = keyed.hint("merge").join(border, ["id", "text_key"]).mapInArrow(_windows(window), f"anchor long, hash long, id {kind}, text_key long, start int")
     single = ws.write(single, "windows")
     earliest = single.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("anchor", "hash", "first")
     earliest = ws.write(earliest, "earliest")
-    straddling = single.hint("merge").join(earliest, ["anchor", "hash"]).where(F.col("id") > F.col("first")).select("id", "text_key", "start", F.lit(1).alias("n"))
-    spans = inside.unionByName(straddling).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    removed = keyed.hint("merge").join(spans, ["id", "text_key"]).mapInArrow(_remove(window), f"id {kind}, text_key long, n_removed long, kept_text string")
-    removed = removed.groupBy("id", "text_key").agg(F.first("n_removed").alias("n_removed"), F.first("kept_text").alias("kept_text"))
+    straddling = single.hint("merge").join(earliest, ["anchor", "hash"]).where(F.col("id") > F.col("first")).select("id", "text_key", "start", F.lit(1).alias("n"), "first")
+    spans = inside.unionByName(straddling).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n", "first")).alias("spans"))
+    removed = keyed.hint("merge").join(spans, ["id", "text_key"]).mapInArrow(_remove(window), f"id {kind}, text_key long, n_removed long, kept_text string, factors array<struct<start:int,n_words:int,first:{kind}>>")
+    removed = removed.groupBy("id", "text_key").agg(F.first("n_removed").alias("n_removed"), F.first("kept_text").alias("kept_text"), F.first("factors").alias("factors"))
     out = parsed.drop("runs").hint("merge").join(removed, ["id", "text_key"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     return out.withColumnRenamed("id", id_col)

@@ -67,6 +67,16 @@ def test_substring(spark, docs):
     found = substring_dedup(table(spark, docs))
     kept = F.when(F.col("kept_text").isNotNull(), F.sha2("kept_text", 256)).otherwise(F.col("words_sha256"))
     assert by_id(found.select("doc_id", "n_words", "n_removed", kept)) == brute.substring(docs)
+    words = {i: brute.words(t) for i, t in docs}
+    windows = {i: {tuple(w[k : k + 50]) for k in range(len(w) - 49)} for i, w in words.items()}
+    for row in found.where("n_removed > 0").collect():
+        own, covered, last = words[row.doc_id], set(), None
+        for f in row.factors:
+            assert f.first < row.doc_id and {tuple(own[k : k + 50]) for k in range(f.start, f.start + f.n_words - 49)} <= windows[f.first]
+            assert last is None or f.start > last.start + last.n_words - 50 and (f.first != last.first or f.start > last.start + last.n_words - 49)
+            covered |= set(range(f.start, f.start + f.n_words))
+            last = f
+        assert len(covered) == row.n_removed
 
 
 def test_near(spark, docs):
