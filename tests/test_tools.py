@@ -1,5 +1,7 @@
 """Formats, advice, obligations, command line and notebook cells."""
 
+import os
+
 import pytest
 
 from fathomlog import formats
@@ -91,3 +93,20 @@ def test_streamed_input(spark, tmp_path):
     query = follow(Session(spark), program, "e", stream, f"{tmp_path}/state", lambda r, _: seen.append({tuple(x) for x in r["default"].collect()}))
     query.awaitTermination()
     assert seen[-1] == {(0, 1), (1, 2), (2, 3), (0, 2), (1, 3), (0, 3)} and len(seen) >= 1
+
+
+def test_intermediate_tables(spark):
+    """A cluster must name a shared folder; what was written there can be deleted."""
+    from types import SimpleNamespace
+
+    from fathomlog import storage
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            storage.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset)))
+    store = storage.Store(spark)
+    kept, rows = store.counted(spark.range(5))
+    assert rows == 5 == kept.count() and store.counted(spark.range(0))[1] == 0
+    storage.remove(spark, store.root)
+    assert not os.path.exists(store.root.removeprefix("file://"))
