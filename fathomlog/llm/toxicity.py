@@ -226,7 +226,7 @@ def _features(model: Model):
         words = Words(model)
         for batch in batches:
             x = words.features(as_strings(batch.column(0)).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "id"])
 
     return run
 
@@ -265,13 +265,13 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _present(candidates: list[str]):
-    """Which candidates each training document holds: (numbers, label)."""
+    """Which candidates each training document holds: (numbers, label, id)."""
     number = {g: k for k, g in enumerate(candidates)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(number[g] for g in grams_of(t.as_py()) & number.keys()) for t in as_strings(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["found", "label", "id"])
 
     return run
 
@@ -322,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, i
         part = marks.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
         some = part if some is None else some.unionByName(part)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    chosen = ws.write(texts.join(F.broadcast(some), "id").select("text", "label"), "sample")
+    chosen = ws.write(texts.join(F.broadcast(some), "id").select("text", "label", "id"), "sample")
     counts = dict(chosen.groupBy("label").count().collect())
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
@@ -336,14 +336,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, i
     gain = F.when(share > rate, p * F.log(share / rate) + n * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     best = grams.where(p >= 2).select("gram", gain.alias("gain")).where("gain > 2").orderBy(F.desc("gain"), "gram").limit(most).collect()
     candidates = [r[0] for r in best]
-    held = chosen.mapInArrow(_present(candidates), "found array<int>, label int").collect()
+    kind = chosen.schema["id"].dataType.simpleString()
+    # In the order of their ids, so that the same documents always give the same model.
+    held = sorted(chosen.mapInArrow(_present(candidates), f"found array<int>, label int, id {kind}").collect(), key=lambda r: (r[2], r[0]))
     marks = choose(candidates, [r[0] for r in held if r[1] == 1], [r[0] for r in held if r[1] == 0], landmarks[0])
     for gram, *_ in grams.where((n > 0) & (F.length("gram") >= GRAM)).orderBy(F.desc("n"), "gram").limit(50).collect():
         if len(marks) < sum(landmarks) and all(alike(gram, c) < ALIKE for c in marks):
             marks.append(gram)
     own = np.array([_pair(m, m) for m in marks])
     model = Model(marks, own, np.zeros(len(marks)), 0.0, 1.0, 0.0)
-    rows = chosen.mapInArrow(_features(model), "x binary, label int").collect()
+    rows = sorted(chosen.mapInArrow(_features(model), f"x binary, label int, id {kind}").collect(), key=lambda r: (r[2], r[0]))
     x = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * len(marks))
     y = np.array([r[1] for r in rows])
     # Nyström: features are kernel values turned by the inverse root of the landmarks' own kernel.

@@ -378,6 +378,8 @@ def test_toxicity_of_odd_tables(spark):
     found = score(table(spark, rows), train(table(spark, rows), labels)).collect()
     assert len(found) == len(rows) and all(0 <= x.score <= 1 for x in found)
     assert len({x.score for x in found if x.doc_id == 1}) == 1
+    again = score(table(spark, rows), train(table(spark, rows[::-1]).repartition(3), labels.repartition(2))).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
 
 
 EMPTY = {
