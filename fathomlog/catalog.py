@@ -230,23 +230,32 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.run(program)["default"]
 
 
+def _csv(table: DataFrame, path: str, header: bool = True) -> None:
+    """Cells as they are; Spark's writer would cut white space and control characters at their ends."""
+    table.write.csv(path, header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def _through(fmt: str, program: str, name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table's declared columns written to a file of a format, and read again by the program."""
-    columns = next(s for s in parse(program).statements if isinstance(s, Input) and s.name == name).columns
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(c.name for c in columns))
+    """A table's declared columns written to a file of a format, and read again by the program.
+
+    CSV cannot tell a null string from an empty one: a declared column ``no_<name>`` says where another is null.
+    """
+    columns = [c.name for c in next(s for s in parse(program).statements if isinstance(s, Input) and s.name == name).columns]
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = table.select(*(F.col(c) if c in table.columns else F.col(c.removeprefix("no_")).isNull().alias(c) for c in columns))
     path = f"{Store(spark).root}/{name}.{fmt}"
     if fmt == "csv":
-        table.write.csv(path, header=True, escape='"')
+        _csv(table, path)
     else:
         table.write.json(path, ignoreNullFields=False)
-    return Session(spark).bind(name, path, fmt).run(program)["default"]
+    return Session(spark).bind(name, path, fmt, unique=set(columns) >= KEYS[name]).run(program)["default"]
 
 
 #: name -> (format, program, table, SQL)
 SOURCES: dict[str, tuple[str, str, str, str]] = {
     "csv_source": ("csv", CUSTOMER + "?- customer(C, N, K, B, S).", "customer", 'SELECT c_custkey AS "C", c_name AS "N", CAST(c_nationkey AS BIGINT) AS "K", c_acctbal AS "B", c_mktsegment AS "S" FROM customer'),
     "jsonl_source": ("jsonl", SUPPLIER + "?- supplier(S, N, K, B).", "supplier", 'SELECT s_suppkey AS "S", s_name AS "N", CAST(s_nationkey AS BIGINT) AS "K", s_acctbal AS "B" FROM supplier'),
-    "csv_text": ("csv", "input predicate documents(doc_id: integer, text: string, lang: string).\nn(L, count(*), sum(length(T))) :- documents(_, T, L).\n?- n(L, C, S).", "documents", 'SELECT lang AS "L", count(*) AS "C", CAST(sum(length(coalesce(text, \'\'))) AS BIGINT) AS "S" FROM documents GROUP BY 1'),
+    "csv_text": ("csv", "input predicate documents(doc_id: integer?, text: string, lang: string, no_lang: boolean).\nn(L, N, count(*), sum(length(T))) :- documents(_, T, L, N).\nm(L, C, S) :- n(L, false, C, S).\nm(null, C, S) :- n(_, true, C, S).\n?- m(L, C, S).", "documents", 'SELECT lang AS "L", count(*) AS "C", CAST(sum(length(coalesce(text, \'\'))) AS BIGINT) AS "S" FROM documents GROUP BY 1'),
 }
 
 
@@ -262,14 +271,14 @@ def two_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def directory_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An input that nothing binds: a folder holds a file of its name."""
     root = Store(spark).root
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(f"{root}/supplier.csv", header=True, escape='"')
+    _csv(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), f"{root}/supplier.csv")
     return Session(spark, root).run(SUPPLIER + "?- supplier(S, N, K, B).")["default"]
 
 
 def bound_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path and a format that the program itself names; the file begins with data."""
     path = f"{Store(spark).root}/rows"
-    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").write.csv(path, escape='"')
+    _csv(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path, header=False)
     return Session(spark, csv_header=False).run(f'input predicate supplier(a: integer, b: string, c: integer, d: float) := "{path}" as csv.\n?- supplier(S, N, K, B).')["default"]
 
 

@@ -96,7 +96,7 @@ def csv(spark: SparkSession, path: str, decl: Input, header: bool = True) -> Dat
     # A record that goes on in the next line leaves a line with an odd number of quotes; files without are read in splits.
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     folded = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    reader = spark.read.options(header=str(header).lower(), multiLine=str(folded).lower(), escape='"', mode="FAILFAST", enforceSchema="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", inferSchema="false")
+    reader = spark.read.options(header=str(header).lower(), multiLine=str(folded).lower(), escape='"', charToEscapeQuoteEscaping='"', mode="FAILFAST", enforceSchema="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", inferSchema="false")
     raw = reader.csv(path)
     if header:
         names = [n.lstrip("﻿") for n in raw.columns]

@@ -53,6 +53,30 @@ def test_whole_null_join(spark, tmp_path):
     assert {r.N: r.K for r in catalog.queries()["null_join"](spark, str(tmp_path)).collect()} == want == {1: 4, 2: 4, None: 4}
 
 
+def test_whole_csv_text(spark, tmp_path):
+    """Texts keep white space, line breaks and control characters at their ends; no row is lost, none has another language."""
+    texts = ["  a b", "a b  ", "\n a", "a\r\n", "\r", " \t\n ", "a\0\nb", "\0", '"\0"', "\x01a\x1f", 'say "x",\n', "", None]
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    rows += [(20, "a", None), (21, "bc", None), (22, "d", ""), (23, "e", " en"), (24, "f", "e\nn"), (None, "gh", "fr"), (30, "same", "de"), (30, "same", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = shape(("L", "C", "S"), con.execute(catalog.oracle_sql()["csv_text"]).fetchall())
+    got = catalog.queries()["csv_text"](spark, str(tmp_path))
+    assert shape(got.columns, [tuple(r) for r in got.collect()]) == want
+    assert (2, None, 3) in want and (2, "de", 8) in want
+
+
+def test_whole_csv_names(spark, tmp_path):
+    """Names keep white space at their ends in every query that goes through CSV."""
+    want = {(k, n, 1, 0.5) for k, n in enumerate(["  a", "b ", " \t", "c\n", "\x01"])}
+    spark.createDataFrame(sorted(want), "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(*r, n) for r, n in zip(sorted(want), [" m", "m ", "\n", "", "m"], strict=True)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("directory_source", "bound_source"):
+        assert {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select("S", "N", "K", "B").collect()} == want
+    assert {(r.N, r.S) for r in catalog.queries()["csv_source"](spark, str(tmp_path)).collect()} == {("  a", " m"), ("b ", "m "), (" \t", "\n"), ("c\n", ""), ("\x01", "m")}
+
+
 def test_whole_proof_terms(spark, tmp_path):
     """Paths of all conversations from all turns."""
     turns = [(c, t, "user") for c, n in ((1, 6), (20, 5), (900, 4)) for t in range(n) if (c, t) != (20, 2)]

@@ -27,6 +27,12 @@ def test_csv_in_splits_and_folded(spark, tmp_path):
     assert {tuple(r) for r in Session(spark, str(tmp_path), csv_header=False).run(program)["default"].collect()} == {("x", 1), ("y", 2)}
 
 
+def test_csv_keeps_zero_characters(spark, tmp_path):
+    program = "input predicate p(a: string, b: integer). ?- p(X, Y)."
+    assert load(spark, tmp_path, "p.csv", 'a,b\n"x\0,",1\n"\0""\0",2\n\0y\0,3\n', program) == {("x\0,", 1), ('\0"\0', 2), ("\0y\0", 3)}
+    assert load(spark, tmp_path, "p.csv", 'a,b\n"x\0\ny",1\n"""\0\n",2\n', program) == {("x\0\ny", 1), ('"\0\n', 2)}
+
+
 def test_pages_of_further_formats(spark, tmp_path):
     """JSON lines, Parquet and diagrams over HTTP."""
     import threading
